@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from rankloom.llm import leximin, packing, split, termscore, tokenize, topn
+from rankloom.llm import knn, leximin, packing, split, termscore, tokenize, topn
 
-_MODULES = (topn, split, termscore, leximin, tokenize, packing)
+_MODULES = (topn, split, termscore, leximin, knn, tokenize, packing)
 QUERIES = {name: query for m in _MODULES for name, query in m.QUERIES.items()}
 SQL = {name: sql for m in _MODULES for name, sql in m.SQL.items()}

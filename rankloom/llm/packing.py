@@ -65,11 +65,11 @@ def pack(df: DataFrame, key: str, size: str, capacity: int = 2048, group_items:
     n_groups = max(1, -(-items.count() // group_items))
     kind = df.schema[key].dataType.simpleString()
 
-    def place(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        whole = pa.Table.from_batches(list(tables))
-        if not whole.num_rows:
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]
+        if not held:
             return
-        whole = whole.sort_by([("group", "ascending"), ("size", "descending"), ("key", "ascending")])
+        whole = pa.Table.from_batches(held).sort_by([("group", "ascending"), ("size", "descending"), ("key", "ascending")])
         group, sizes = whole["group"].to_numpy(), whole["size"].to_numpy()
         for lo, hi in zip(*_runs(group), strict=True):
             own = sizes[lo:hi]
