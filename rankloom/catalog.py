@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rankloom.operators import orphans
+from rankloom.operators import orphans, sparse
 
-_MODULES = (orphans,)
+_MODULES = (sparse, orphans)
 QUERIES = {name: query for m in _MODULES for name, query in m.QUERIES.items()}
 SQL = {name: sql for m in _MODULES for name, sql in m.SQL.items()}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orphan references, until retrieval is there."""
-    return QUERIES["p7_found"](spark, sf_dir)
+    """BM25: the ten best documents of every judged query."""
+    return QUERIES["bm25_topk"](spark, sf_dir)
