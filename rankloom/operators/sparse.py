@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from rankloom.functions.text import tokens
 from rankloom.plans import datasets as D
+from rankloom.session import written
 
 #: Scores are rounded to so many digits before they are ranked.
 DIGITS = 6
@@ -173,7 +174,7 @@ def p_corpus_render(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _bm25(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     queries = D.judged_queries(spark, sf_dir, D.graded(spark, sf_dir))
-    return bm25_weights(D.corpus(spark, sf_dir)), D.query_tokens(queries)
+    return written(bm25_weights(D.corpus(spark, sf_dir)), "bm25"), D.query_tokens(queries)
 
 
 def bm25_topk(spark: SparkSession, sf_dir: str, k: int = 10) -> DataFrame:
@@ -182,7 +183,7 @@ def bm25_topk(spark: SparkSession, sf_dir: str, k: int = 10) -> DataFrame:
 
 def _sparse(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     queries = D.judged_queries(spark, sf_dir, D.binary(spark, sf_dir))
-    return D.sparse_postings(spark, sf_dir), D.query_tokens(queries)
+    return written(D.sparse_postings(spark, sf_dir), "postings"), D.query_tokens(queries)
 
 
 def sparse_dot_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -206,7 +207,7 @@ def dismax_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def es_hybrid_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     weights, terms = _bm25(spark, sf_dir)
-    lexical = lexical_weights(D.corpus(spark, sf_dir))
+    lexical = written(lexical_weights(D.corpus(spark, sf_dir)), "lexical")
     return rank_hits(hybrid_scores(dot_scores(weights, terms), dismax_scores(saturation(lexical), terms)), 10)
 
 
