@@ -37,7 +37,7 @@ def normalize(lists: DataFrame) -> DataFrame:
     """
     each = Window.partitionBy("query_id", "list")
     low, high = F.min("score").over(each), F.max("score").over(each)
-    norm = F.when(high == low, F.lit(1.0)).otherwise(FLOOR + (1 - FLOOR) * (F.col("score") - low) / F.nullif(high - low, F.lit(0.0)))
+    norm = F.when(high == low, F.lit(1.0)).otherwise(FLOOR + (1 - FLOOR) * ((F.col("score") - low) / F.nullif(high - low, F.lit(0.0))))
     return lists.withColumn("norm", norm).groupBy("query_id", "list", "doc_id").agg(F.min("pos").alias("pos"), F.max_by("norm", "pos").alias("norm"))
 
 
@@ -144,7 +144,7 @@ def lists_sql(names: Sequence[str], t: str = "rows") -> str:
 _ROWS = "WITH rows AS (SELECT DISTINCT * FROM query_results), "
 _NORM = """norms AS (SELECT query_id, list, doc_id, min(pos) AS pos, arg_max(norm, pos) AS norm FROM (
   SELECT *, CASE WHEN max(score) OVER w = min(score) OVER w THEN 1.0::DOUBLE
-    ELSE 0.1::DOUBLE + 0.9::DOUBLE * (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) END AS norm
+    ELSE 0.1::DOUBLE + 0.9::DOUBLE * ((score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w)) END AS norm
   FROM hits WINDOW w AS (PARTITION BY query_id, list)) GROUP BY 1, 2, 3)"""
 HITS_CTE = _ROWS + lists_sql(LISTS)
 
