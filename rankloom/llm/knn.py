@@ -67,7 +67,7 @@ class Curves:
     def keys(self, x: np.ndarray, ids: np.ndarray, curve: int) -> np.ndarray:
         """Curve positions, made distinct by 31 bits of the id, so that equal vectors can be divided."""
         axes, shift = self.fits[curve]
-        even = 1 / (1 + np.exp(-1.7 * (x @ axes + shift)))  # about uniform on 0 to 1
+        even = 1 / (1 + np.exp(-1.7 * np.clip(x @ axes + shift, -9, 9)))  # about uniform on 0 to 1
         cells = np.minimum((even * (1 << BITS)).astype(np.int64), (1 << BITS) - 1)
         salt = (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
         return hilbert_key(cells, BITS) << 31 | salt.astype(np.int64)

@@ -15,7 +15,8 @@ def step_pattern(limit: int, overlap: int) -> str:
 
     Alternatives from the strongest boundary to the weakest: paragraph, line,
     sentence, blank, and at last any character. The first three must use at
-    least half of the room, so that pieces don't become small. The first match
+    least half of the room, so that pieces don't become small. What is left and
+    fits is taken whole. The first match
     may fill the limit; later ones leave room for the overlap. The first piece
     is never shorter than the overlap.
     """
@@ -28,7 +29,8 @@ def step_pattern(limit: int, overlap: int) -> str:
         return [f"{at}[\\s\\S]{{{low},{room - width}}}{end}" for end, low, width in ends]
 
     first, later = ways(limit, overlap, r"\A"), ways(limit - overlap, 1, r"(?!\A)")
-    return "|".join([*first, rf"\A[\s\S]{{1,{limit}}}", *later, rf"[\s\S]{{1,{limit - overlap}}}"])
+    rest = rf"(?!\A)(?![\s\S]{{{limit - overlap + 1}}})[\s\S]+"
+    return "|".join([rest, *first, rf"\A[\s\S]{{1,{limit}}}", *later, rf"[\s\S]{{1,{limit - overlap}}}"])
 
 
 def pieces(text: Column, limit: int = 2048, overlap: int = 200) -> Column:

@@ -200,7 +200,7 @@ def encode_corpus(df: DataFrame, key: str, text: str, tokenizer: str = "byte_bpe
                 ids = encode_batch(batch.column(1).to_pylist(), path)
                 ends = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
                 flat = np.fromiter((t for x in ids for t in x), np.int32, count=int(ends[-1]))
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["key", "ids"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], [key, "ids"])
 
     return df.select(key, text).mapInArrow(run, f"{key} {kind}, ids array<int>")
 
@@ -213,7 +213,7 @@ def token_counts(df: DataFrame, key: str, text: str, tokenizer: str = "byte_bpe_
         for whole in batches:
             for batch in (whole.slice(i, 1000) for i in range(0, whole.num_rows, 1000)):
                 ids = encode_batch(batch.column(1).to_pylist(), path)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in ids], pa.int64())], ["key", "n_tokens"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in ids], pa.int64())], [key, "n_tokens"])
 
     return df.select(key, text).mapInArrow(run, f"{key} {kind}, n_tokens bigint")
 

@@ -39,7 +39,7 @@ HINTS = {
 }
 CHAIN = (*HINTS, "toxic")
 
-_SPACED = re.compile(r"(?<![^\W_])[^\W\d_](?:[ .*_\-]{1,3}[^\W\d_](?![^\W_])){3,}")
+_SPACED = re.compile(r"(?<![^\W_])[^\W\d_](?:[ ._\-]{1,3}[^\W\d_](?![^\W_]|[@$*|])){3,}")
 _TOKEN = re.compile(r"[^\W_](?:[\w@$!*|']*[\w*])?")
 _LEET = re.compile(r"[@$!0-57|]")
 _REPEAT = re.compile(r"([^\W\d_])\1+")
@@ -52,7 +52,7 @@ def plain(text: str) -> str:
     """Lower case without accents, invisible characters, look-alikes and spaced-out words."""
     text = unicodedata.normalize("NFD", unicodedata.normalize("NFKC", text).casefold())
     text = text if text.isascii() else _UNSEEN.sub("", text)
-    return _SPACED.sub(lambda m: re.sub(r"[ .*_\-]", "", m[0]), text.translate(LOOKALIKES))
+    return _SPACED.sub(lambda m: re.sub(r"[ ._\-]", "", m[0]), text.translate(LOOKALIKES))
 
 
 @lru_cache(maxsize=300_000)
@@ -154,7 +154,7 @@ def label_model(positive: np.ndarray, total: np.ndarray) -> tuple[float, float]:
     for _ in range(50):
         odds = np.log(share / (1 - share)) + (2 * positive - total) * np.log((1 - wrong) / wrong)
         q = sigmoid(odds)
-        share = float(np.clip(q.mean(), 1e-3, 0.9))
+        share = float(np.clip(q.mean() if len(q) else 0, 1e-3, 0.9))
         wrong = float(np.clip((q * (total - positive) + (1 - q) * positive).sum() / max(1, total.sum()), 0.005, 0.3))
     return share, wrong
 
