@@ -29,7 +29,7 @@ def explode_postings(docs: DataFrame, key: str, weights: str) -> DataFrame:
     return docs.select(F.col(key).alias("doc_id"), F.explode(positive).alias("term", "weight"))
 
 
-def top_k_dot(postings: DataFrame, terms: DataFrame, k: int, share: float = 0.02) -> DataFrame:
+def top_k_dot(postings: DataFrame, terms: DataFrame, k: int, share: float = 0.2) -> DataFrame:
     """The ``k`` documents of each query with the greatest sum of weight products, exactly.
 
     ``postings``: doc_id, term, weight above 0, unique. ``terms``: query_id,
