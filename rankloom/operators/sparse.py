@@ -32,7 +32,10 @@ def explode_postings(docs: DataFrame, key: str, weights: str) -> DataFrame:
 def top_k_dot(postings: DataFrame, terms: DataFrame, k: int, share: float = 0.2) -> DataFrame:
     """The ``k`` documents of each query with the greatest sum of weight products, exactly.
 
-    ``postings``: doc_id, term, weight above 0, unique. ``terms``: query_id,
+    Where the postings have a column ``peak``, the greatest product of peak and
+    query weight is added to the sum.
+
+    ``postings``: doc_id, term, weight not below 0, unique. ``terms``: query_id,
     term, weight above 0, unique. Documents without a common term are in no
     result; a query without terms has none. Ties go by doc_id.
 
@@ -43,6 +46,8 @@ def top_k_dot(postings: DataFrame, terms: DataFrame, k: int, share: float = 0.2)
     rarer term of the query and with ``k`` documents before it by the partial
     score can't be among the best, as those score at least as much in full.
     """
+    if "peak" not in postings.columns:
+        postings = postings.withColumn("peak", F.lit(0.0))
     n = postings.agg(F.count_distinct("doc_id").alias("n"))
     df = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     frequent = df.crossJoin(F.broadcast(n)).filter(F.col("df") > F.greatest(F.lit(50.0), F.col("n") * share)).select("term", F.lit(True).alias("frequent"))
@@ -51,14 +56,16 @@ def top_k_dot(postings: DataFrame, terms: DataFrame, k: int, share: float = 0.2)
     kinds = common.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("term", "weight"))).alias("terms"))
     kinds = kinds.withColumn("kind", F.xxhash64("terms"))
     shared = kinds.groupBy("kind").agg(F.first("terms").alias("terms")).select("kind", F.explode("terms").alias("t")).select("kind", "t.term", F.col("t.weight").alias("qw"))
-    partial = postings.join(shared, "term").groupBy("kind", "doc_id").agg(F.sum(F.col("weight") * F.col("qw")).alias("part"))
-    best = Window.partitionBy("kind").orderBy(F.round("part", DIGITS).desc(), F.col("doc_id"))
-    leaders = partial.withColumn("r", F.row_number().over(best)).filter(F.col("r") <= k).select("kind", "doc_id", "part")
+    total, top = F.sum(F.col("weight") * F.col("qw")), F.max(F.col("peak") * F.col("qw"))
+    partial = postings.join(shared, "term").groupBy("kind", "doc_id").agg(total.alias("part"), top.alias("part_top"))
+    best = Window.partitionBy("kind").orderBy(F.round(F.col("part") + F.col("part_top"), DIGITS).desc(), F.col("doc_id"))
+    leaders = partial.withColumn("r", F.row_number().over(best)).filter(F.col("r") <= k).select("kind", "doc_id", (F.col("part") + F.col("part_top")).alias("score"))
     rare = marked.filter("frequent IS NULL").select("query_id", "term", F.col("weight").alias("qw"))
-    found = postings.join(rare, "term").groupBy("query_id", "doc_id").agg(F.sum(F.col("weight") * F.col("qw")).alias("own"))
+    found = postings.join(rare, "term").groupBy("query_id", "doc_id").agg(total.alias("own"), top.alias("own_top"))
     query_kind = kinds.select("query_id", "kind")
-    full = found.join(query_kind, "query_id", "left").join(partial, ["kind", "doc_id"], "left").select("query_id", "doc_id", (F.col("own") + F.coalesce("part", F.lit(0.0))).alias("score"))
-    others = leaders.join(query_kind, "kind").select("query_id", "doc_id", F.col("part").alias("score"))
+    score = F.col("own") + F.coalesce("part", F.lit(0.0)) + F.greatest("own_top", F.coalesce("part_top", F.col("own_top")))
+    full = found.join(query_kind, "query_id", "left").join(partial, ["kind", "doc_id"], "left").select("query_id", "doc_id", score.alias("score"))
+    others = leaders.join(query_kind, "kind").select("query_id", "doc_id", "score")
     return rank_hits(full.unionByName(others).groupBy("query_id", "doc_id").agg(F.max("score").alias("score")), k)
 
 
@@ -128,6 +135,17 @@ def dismax_scores(postings: DataFrame, terms: DataFrame, tie: float = 0.7) -> Da
     return joined.groupBy("query_id", "doc_id").agg(((1 - tie) * F.max(part) + tie * F.sum(part)).alias("score"))
 
 
+def dismax_postings(postings: DataFrame, tie: float = 0.7) -> DataFrame:
+    """Postings for :func:`top_k_dot` that score as :func:`dismax_scores` does."""
+    return postings.select("doc_id", "term", (tie * F.col("weight")).alias("weight"), ((1 - tie) * F.col("weight")).alias("peak"))
+
+
+def hybrid_postings(bm25: DataFrame, dismax: DataFrame, alpha: float = 0.4, beta: float = 0.6) -> DataFrame:
+    """Postings that score alpha BM25 + beta dis-max; a document qualifies by either."""
+    parts = bm25.select("doc_id", "term", (alpha * F.col("weight")).alias("w"), F.lit(0.0).alias("p")).unionByName(dismax.select("doc_id", "term", (beta * F.col("weight")).alias("w"), (beta * F.col("peak")).alias("p")))
+    return parts.groupBy("doc_id", "term").agg(F.sum("w").alias("weight"), F.max("p").alias("peak"))
+
+
 def match_all(docs: DataFrame, queries: DataFrame, terms: DataFrame, k: int) -> DataFrame:
     """Queries without a positive term match everything alike: the first ``k`` documents by id, score 1."""
     bare = queries.select("query_id").join(terms.filter("weight > 0"), "query_id", "left_anti")
@@ -202,13 +220,13 @@ def pg_overlap_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def dismax_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     postings, terms = _sparse(spark, sf_dir)
-    return rank_hits(dismax_scores(saturation(postings), terms), 10)
+    return top_k_dot(written(dismax_postings(saturation(postings)), "dismax"), terms, 10)
 
 
 def es_hybrid_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     weights, terms = _bm25(spark, sf_dir)
     lexical = written(lexical_weights(D.corpus(spark, sf_dir)), "lexical")
-    return rank_hits(hybrid_scores(dot_scores(weights, terms), dismax_scores(saturation(lexical), terms)), 10)
+    return top_k_dot(written(hybrid_postings(weights, dismax_postings(saturation(lexical))), "hybrid"), terms, 10)
 
 
 def lexical_encode_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
