@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: White space at the ends of a text: space, tab, carriage return, line feed, no-break space.
@@ -31,6 +31,11 @@ def render_document(title: Column | str, body: Column | str) -> Column:
     return strip(F.when(t != "", F.concat_ws(" ", t, b)).otherwise(b))
 
 
+def token_rows(df: DataFrame, key: str, text: str) -> DataFrame:
+    """``key`` and ``term``, a row per token of :func:`tokens`; split and filter stay in generated code."""
+    return df.select(key, F.explode(F.split(F.lower(F.col(text)), r"[^\p{L}\p{N}]+")).alias("term")).filter(F.col("term") != "")
+
+
 def tokens(c: Column | str) -> Column:
     """Lower-case runs of letters and digits, in order, with repeats."""
     return F.filter(F.split(F.lower(_col(c)), r"[^\p{L}\p{N}]+"), lambda t: t != "")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from rankloom.functions.text import tokens
+from rankloom.functions.text import token_rows, tokens
 from rankloom.plans import datasets as D
 from rankloom.session import written
 
@@ -75,7 +75,7 @@ def bm25_weights(docs: DataFrame, k1: float = 1.2, b: float = 0.75, keep_k1_fact
     idf = ln(1 + (N - df + 0.5) / (df + 0.5)), lengths as they are, not
     quantised. N counts all documents, the average length those with a token.
     """
-    counted = docs.select("doc_id", F.explode(tokens("content")).alias("term")).groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"))
+    counted = token_rows(docs, "doc_id", "content").groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"))
     lengths = counted.groupBy("doc_id").agg(F.sum("tf").alias("len"))
     totals = docs.agg(F.count(F.lit(1)).cast("double").alias("n")).crossJoin(F.broadcast(lengths.agg((F.sum("len").cast("double") / F.count(F.lit(1))).alias("avgdl"))))
     df = counted.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
@@ -86,7 +86,7 @@ def bm25_weights(docs: DataFrame, k1: float = 1.2, b: float = 0.75, keep_k1_fact
 
 def lexical_weights(docs: DataFrame, top_terms: int = 100) -> DataFrame:
     """doc_id, term, weight: ln(1 + tf) ln(1 + N / df), each document's ``top_terms``; stands in for a learned encoder."""
-    counted = docs.select("doc_id", F.explode(tokens("content")).alias("term")).groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"))
+    counted = token_rows(docs, "doc_id", "content").groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"))
     df = counted.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     n = docs.agg(F.count(F.lit(1)).cast("double").alias("n"))
     weighted = counted.join(df, "term").crossJoin(F.broadcast(n)).select("doc_id", "term", F.round(F.log1p("tf") * F.log(1 + F.col("n") / F.col("df")), DIGITS).alias("weight"))

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankloom.functions.text import normal_id, render_document, strip, tokens
+from rankloom.functions.text import normal_id, render_document, strip, token_rows
 from rankloom.operators.records import current_records
 from rankloom.sources.tables import table
 
@@ -45,7 +45,7 @@ def judged_queries(spark: SparkSession, folder: str, judgments: DataFrame) -> Da
 
 def query_tokens(queries: DataFrame) -> DataFrame:
     """query_id, term, weight: how often the query has the term."""
-    return queries.select("query_id", F.explode(tokens("text")).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).cast("double").alias("weight"))
+    return token_rows(queries, "query_id", "text").groupBy("query_id", "term").agg(F.count(F.lit(1)).cast("double").alias("weight"))
 
 
 def sparse_postings(spark: SparkSession, folder: str) -> DataFrame:
