@@ -275,18 +275,26 @@ class ToxicChain:
         return np.array(doc, np.int64), np.array(flat, np.int64), np.array(ends, np.int64)[:-1], None
 
 
-def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, text, positive, total: documents with a label; repeated labels once, null labels don't count."""
-    votes = labels.filter("toxic IS NOT NULL AND doc_id IS NOT NULL").select("label_id", "doc_id", "toxic").distinct()
-    votes = votes.groupBy("doc_id").agg(F.sum((F.col("toxic") > 0).cast("int")).alias("positive"), F.count(F.lit(1)).alias("total"))
-    return docs.select("doc_id", "text").filter("text IS NOT NULL").join(votes, "doc_id")
+def votes(labels: DataFrame) -> DataFrame:
+    """doc_id, positive, total; repeated labels once, null labels don't count."""
+    valid = labels.filter("toxic IS NOT NULL AND doc_id IS NOT NULL").select("label_id", "doc_id", "toxic").distinct()
+    return valid.groupBy("doc_id").agg(F.sum((F.col("toxic") > 0).cast("int")).alias("positive"), F.count(F.lit(1)).alias("total"))
 
 
-def train(docs: DataFrame, labels: DataFrame, max_positive: int = MAX_POSITIVE, max_negative: int = MAX_NEGATIVE) -> ToxicChain:
-    """The chain, fitted on at most so many labelled documents, chosen by a hash of the id."""
-    rows = labelled(docs, labels).withColumn("_h", F.xxhash64("doc_id"))
+def labelled(docs: DataFrame, labels: DataFrame, max_positive: int = MAX_POSITIVE, max_negative: int = MAX_NEGATIVE) -> DataFrame:
+    """doc_id, text, positive, total of at most so many labelled documents, chosen by a hash of the id.
+
+    Only ids are ordered; the chosen ones, a bounded number, are broadcast, so
+    the documents are not shuffled.
+    """
+    rows = votes(labels).withColumn("_h", F.xxhash64("doc_id"))
     some = rows.filter("positive > 0").orderBy("_h", "doc_id").limit(max_positive).unionByName(rows.filter("positive = 0").orderBy("_h", "doc_id").limit(max_negative))
-    sample = some.drop("_h").toPandas()
+    return docs.select("doc_id", "text").filter("text IS NOT NULL").join(F.broadcast(some.drop("_h")), "doc_id")
+
+
+def train(docs: DataFrame, labels: DataFrame, max_positive: int = MAX_POSITIVE, max_negative: int = MAX_NEGATIVE) -> ToxicChain:
+    """The chain, fitted on :func:`labelled`."""
+    sample = labelled(docs, labels, max_positive, max_negative).toPandas().sort_values(["doc_id", "text"])
     return ToxicChain(sample["text"].tolist(), sample["positive"].to_numpy(float), sample["total"].to_numpy(float))
 
 
