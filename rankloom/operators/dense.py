@@ -109,74 +109,228 @@ def fit_sample(df: DataFrame, vector: str, dim: int, size: int = FIT_SAMPLE, see
     return matrix(rows, dim)[1] if len(rows) else np.zeros((0, dim), np.float32)
 
 
+def rounded(s: np.ndarray) -> np.ndarray:
+    """Scores to ``DIGITS`` digits, halves away from zero."""
+    return np.copysign(np.floor(np.abs(s) * 10**DIGITS + 0.5), s) / 10**DIGITS
+
+
+def best_columns(s: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of the ``k`` greatest of every row of ``s``; of equal ones the first columns."""
+    if s.shape[1] <= k:
+        return np.divmod(np.arange(s.size), max(1, s.shape[1]))
+    kth = np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k, None]
+    above, tied = s > kth, s == kth
+    return np.nonzero(above | tied & (np.cumsum(tied, axis=1, dtype=np.int32) <= k - above.sum(1, keepdims=True)))
+
+
 class CellIndex:
-    """Inverted cells: centroids (at most ``n_cells``), and each document with its cell."""
+    """Inverted cells: centroids (at most ``n_cells``), each document with its cell, and each cell's radius.
+
+    By the radius r of a cell with centroid c no document in it has an inner
+    product with q above q c + |q| r. Cells are probed in the order of that
+    bound, and a search goes on to every cell whose bound reaches the k-th score
+    found, so that large vectors in far cells are met, and nothing is missed.
+    """
 
     def __init__(self, docs: DataFrame, key: str, vector: str, dim: int, n_cells: int = 100):
         sample = fit_sample(docs, vector, dim)
         self.dim, self.centers = dim, kmeans(sample, n_cells) if len(sample) else np.zeros((1, dim), np.float32)
-        self.docs = self._assign(docs, key, vector, 1).select(F.col("id").alias("doc_id"), "cell", "v")
+        self.cells = written(self._gathered(docs, key, vector), "cells")
+        self.radius = np.full(len(self.centers), -np.inf)  # of an empty cell
+        for cell, r in self.cells.groupBy("cell").agg(F.max("r")).collect():  # a row for each cell
+            self.radius[cell] = r
 
-    def _assign(self, df: DataFrame, key: str, vector: str, probes: int) -> DataFrame:
-        centers, dim = self.centers, self.dim
+    def _gathered(self, docs: DataFrame, key: str, vector: str) -> DataFrame:
+        """cell, r, ids array<string>, x binary: usable vectors by nearest centroid, in blocks, and the greatest distance from it; no shuffle."""
+        centers, dim = self.centers.astype(float), self.dim
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            half = (centers**2).sum(1) / 2
+            half, held, n = (centers**2).sum(1) / 2, [], 0
+
+            def out() -> Iterator[pa.RecordBatch]:
+                ids, cell, x = (np.concatenate(c) for c in zip(*held, strict=True))
+                for c in np.unique(cell):
+                    at = np.flatnonzero(cell == c)
+                    for lo in range(0, len(at), DOC_BLOCK):
+                        part = at[lo : lo + DOC_BLOCK]
+                        r = np.linalg.norm(x[part] - centers[c], axis=1).max()
+                        yield pa.RecordBatch.from_arrays([pa.array([c], pa.int32()), pa.array([r]), pa.array([ids[part].tolist()], pa.list_(pa.string())), pa.array([x[part].tobytes()])], ["cell", "r", "ids", "x"])
+
             for batch in batches:
                 at, x = matrix(batch.column(1), dim)
-                n = min(probes, len(centers))
-                cells = np.argsort(half - x @ centers.T, axis=1, kind="stable")[:, :n]
-                rows = pa.array(np.repeat(at, n))
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), pa.array(cells.ravel(), pa.int32()), batch.column(1).take(rows).cast(pa.list_(pa.float32()))], ["id", "cell", "v"])
+                held.append((np.array(batch.column(0).take(pa.array(at)).to_pylist(), object), (half - x.astype(float) @ centers.T).argmin(1), x))
+                n += len(at)
+                if n >= 8 * DOC_BLOCK:
+                    yield from out()
+                    held, n = [], 0
+            if n:
+                yield from out()
+
+        return docs.filter(F.col(key).isNotNull()).select(F.col(key).cast("string"), F.col(vector)).mapInArrow(run, "cell int, r double, ids array<string>, x binary")
+
+    def _probed(self, queries: DataFrame, probes: int, first: bool) -> DataFrame:
+        """cell, q, qx, floor: blocks of query_id, v, floor for the ``probes`` cells of the greatest bounds, or for the other cells whose bound reaches ``floor``."""
+        centers, radius, dim = self.centers.astype(float), self.radius, self.dim
 
-        return df.filter(F.col(key).isNotNull()).select(F.col(key).cast("string").alias("id"), F.col(vector).alias("v")).mapInArrow(run, "id string, cell int, v array<float>")
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for lo in range(0, batch.num_rows, QUERY_BLOCK):
+                    part = batch.slice(lo, QUERY_BLOCK)
+                    ids, floor = np.array(part.column(0).to_pylist(), object), part.column(2).to_numpy()
+                    x = part.column(1).flatten().to_numpy().reshape(-1, dim)
+                    length = np.linalg.norm(x.astype(float), axis=1)[:, None]
+                    bound = x.astype(float) @ centers.T + length * np.where(np.isfinite(radius), radius, 0)
+                    bound[:, ~np.isfinite(radius)] = -np.inf
+                    head = np.zeros(bound.shape, bool)
+                    np.put_along_axis(head, np.argsort(-bound, axis=1, kind="stable")[:, :probes], True, axis=1)
+                    meets = (head if first else ~head & (bound >= floor[:, None] - slack(length))) & np.isfinite(radius)
+                    for c in np.flatnonzero(meets.any(0)):
+                        at = np.flatnonzero(meets[:, c])
+                        yield pa.RecordBatch.from_arrays([pa.array([c], pa.int32()), pa.array([ids[at].tolist()], pa.list_(pa.string())), pa.array([x[at].tobytes()]), pa.array([floor[at].tobytes()])], ["cell", "q", "qx", "floor"])
+
+        largest = float(np.max(np.linalg.norm(self.centers, axis=1) + np.where(np.isfinite(radius), radius, 0)))
+
+        def slack(length: np.ndarray) -> np.ndarray:
+            return 1.01 * 10.0**-DIGITS + 1e-9 * length * largest  # scores that are equal once rounded
+
+        return queries.mapInArrow(run, "cell int, q array<string>, qx binary, floor binary")
+
+    def _asked(self, queries: DataFrame, key: str, vector: str) -> DataFrame:
+        """query_id, v, floor of usable queries, without a floor yet."""
+        dim = self.dim
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                rows = pa.array(matrix(batch.column(1), dim)[0])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows).cast(pa.list_(pa.float32())), pa.array(np.full(len(rows), -np.inf))], ["query_id", "v", "floor"])
+
+        asked = queries.filter(F.col(key).isNotNull()).select(F.col(key).cast("string"), F.col(vector)).mapInArrow(run, "query_id string, v array<float>, floor double")
+        asked = written(asked, "asked")
+        return asked.repartition(-(-asked.count() // QUERY_BLOCK) or 1)  # full blocks: documents travel once for each
+
+    def _met(self, probed: DataFrame, cells: DataFrame) -> DataFrame:
+        """Blocks of documents and queries of one cell; not dealt out again, as each block of documents would travel with each of queries."""
+        return cells.join(probed, "cell")
+
+    @staticmethod
+    def _raised(asked: DataFrame, floors: DataFrame, k: int) -> DataFrame:
+        """query_id, v, floor: ``floor`` is the ``k``-th score, minus infinity where there are fewer."""
+        kth = floors.filter(F.col("rank") == k).select("query_id", F.col("score").alias("kth"))
+        return asked.join(kth, "query_id", "left").select("query_id", "v", F.coalesce("kth", "floor").alias("floor"))
 
     def search(self, queries: DataFrame, key: str, vector: str, k: int, probes: int = 10) -> DataFrame:
-        """query_id, doc_id, score, rank by inner product within the ``probes`` cells nearest to each query."""
-        asked = self._assign(queries, key, vector, probes).select(F.col("id").alias("query_id"), "cell", F.col("v").alias("qv"))
+        """query_id, doc_id, score, rank by inner product: ``probes`` cells, then all others that may hold one of the ``k`` best."""
         dim = self.dim
 
         def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                a, b = (batch.column(i).flatten().to_numpy().reshape(-1, dim) for i in (2, 3))
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array((a * b).sum(1).astype(float))], ["query_id", "doc_id", "score"])
+                for d, dx, q, qx in zip(*(batch.column(n) for n in ("ids", "x", "q", "qx")), strict=True):
+                    yield block_hits(d, dx, q, qx, dim, k)
 
-        met = asked.join(self.docs, "cell").select("query_id", "doc_id", "qv", "v")
-        return rank_hits(met.mapInArrow(score, "query_id string, doc_id string, score double"), k, DIGITS)
+        def hits(asked: DataFrame, first: bool) -> DataFrame:
+            met = self._met(self._probed(asked, probes, first), self.cells.select("cell", "ids", "x")).select("ids", "x", "q", "qx")
+            return met.mapInArrow(score, "query_id string, doc_id string, score double")
+
+        asked = self._asked(queries, key, vector)
+        near = written(rank_hits(hits(asked, True), k, DIGITS), "near")
+        far = hits(self._raised(asked, near, k).coalesce(asked.rdd.getNumPartitions()), False)
+        return rank_hits(near.select("query_id", "doc_id", "score").unionByName(far), k, DIGITS)
 
 
 class ProductIndex(CellIndex):
-    """Cells, and per document the code of each sub-vector; scores by look-up tables."""
+    """Cells, and per document its length and the code of each sub-vector of its direction.
+
+    Codes bound each inner product from both sides: the error of a coded
+    document is |q| times its distance from its code. Documents whose upper
+    bound reaches the k-th lower bound are scored by their vectors.
+    """
 
     def __init__(self, docs: DataFrame, key: str, vector: str, dim: int, n_cells: int = 100, parts: int = 48, codes: int = 256):
         super().__init__(docs, key, vector, dim, n_cells)
         parts = max(p for p in range(1, min(parts, dim) + 1) if dim % p == 0)
         sample = fit_sample(docs, vector, dim)
+        sample = sample / np.maximum(np.linalg.norm(sample, axis=1, keepdims=True), 1e-30)
         self.books = [kmeans(s, codes, 8) if len(s) else np.zeros((1, dim // parts), np.float32) for s in np.split(sample, parts, axis=1)]
         books, width = self.books, dim // parts
 
         def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                x = batch.column(2).flatten().to_numpy().reshape(-1, dim)
-                code = np.stack([((b**2).sum(1) - 2 * x[:, i * width : (i + 1) * width] @ b.T).argmin(1) for i, b in enumerate(books)], axis=1).astype(np.uint8)
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([r.tobytes() for r in code], pa.binary())], ["doc_id", "cell", "code"])
+                for c, ids, x in zip(*(batch.column(i) for i in range(3)), strict=True):
+                    x = np.frombuffer(x.as_py(), np.float32).reshape(-1, dim).astype(float)
+                    length = np.linalg.norm(x, axis=1)
+                    u = x / np.maximum(length, 1e-30)[:, None]
+                    code = np.stack([((b**2).sum(1) - 2 * u[:, i * width : (i + 1) * width] @ b.T).argmin(1) for i, b in enumerate(books)], axis=1).astype(np.uint8)
+                    off = np.linalg.norm(x - length[:, None] * decoded(code, books), axis=1)
+                    yield pa.RecordBatch.from_arrays([pa.array([c.as_py()], pa.int32()), pa.array([ids.as_py()], pa.list_(pa.string())), *(pa.array([a.tobytes()]) for a in (code, length, off, x.astype(np.float32)))], ["cell", "ids", "code", "length", "off", "x"])
 
-        self.coded = self.docs.mapInArrow(encode, "doc_id string, cell int, code binary")
+        self.coded = self.cells.select("cell", "ids", "x").mapInArrow(encode, "cell int, ids array<string>, code binary, length binary, off binary, x binary")
 
     def search(self, queries: DataFrame, key: str, vector: str, k: int, probes: int = 10) -> DataFrame:
-        """As with cells, scored by the sum of looked-up inner products."""
-        asked = self._assign(queries, key, vector, probes).select(F.col("id").alias("query_id"), "cell", F.col("v").alias("qv"))
-        books, width, dim = self.books, self.dim // len(self.books), self.dim
+        """As with cells; codes choose the documents that are scored."""
+        books, dim = self.books, self.dim
 
-        def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def lower(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                q = batch.column(2).flatten().to_numpy().reshape(-1, dim)
-                code = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint8).reshape(-1, len(books))
-                s = sum((q[:, i * width : (i + 1) * width] * b[code[:, i]]).sum(1) for i, b in enumerate(books))
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.asarray(s, float))], ["query_id", "doc_id", "score"])
+                for d, code, length, off, q, qx in zip(*(batch.column(n) for n in ("ids", "code", "length", "off", "q", "qx")), strict=True):
+                    names, asked = np.array(d.as_py(), object), np.array(q.as_py(), object)
+                    for lo, s, error, _ in estimates(code, length, off, qx, books, dim):
+                        rows, columns = best_columns(s - error, k)
+                        yield pa.RecordBatch.from_arrays([pa.array(asked[lo + rows].tolist(), pa.string()), pa.array(names[columns].tolist(), pa.string()), pa.array((s - error)[rows, columns])], ["query_id", "doc_id", "score"])
 
-        met = asked.join(self.coded, "cell").select("query_id", "doc_id", "qv", "code")
-        return rank_hits(met.mapInArrow(score, "query_id string, doc_id string, score double"), k, DIGITS)
+        def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for d, code, length, off, dx, q, qx, floor in zip(*(batch.column(n) for n in ("ids", "code", "length", "off", "x", "q", "qx", "floor")), strict=True):
+                    names, asked, floor = np.array(d.as_py(), object), np.array(q.as_py(), object), np.frombuffer(floor.as_py())
+                    order = np.argsort(names, kind="stable")
+                    names, y = names[order], np.frombuffer(dx.as_py(), np.float32).reshape(-1, dim)[order].astype(float)
+                    for lo, s, error, part in estimates(code, length, off, qx, books, dim):
+                        rows, columns = np.nonzero((s + error)[:, order] >= floor[lo : lo + len(s), None] - 1.01 * 10.0**-DIGITS)
+                        exact = np.full(s.shape, -np.inf)
+                        for i in range(0, len(rows), 65_536):
+                            r, c = rows[i : i + 65_536], columns[i : i + 65_536]
+                            exact[r, c] = rounded(np.einsum("ij,ij->i", part[r], y[c]))
+                        rows, columns = best_columns(exact, k)
+                        live = np.isfinite(exact[rows, columns])
+                        rows, columns = rows[live], columns[live]
+                        yield pa.RecordBatch.from_arrays([pa.array(asked[lo + rows].tolist(), pa.string()), pa.array(names[columns].tolist(), pa.string()), pa.array(exact[rows, columns])], ["query_id", "doc_id", "score"])
+
+        asked = self._asked(queries, key, vector)
+        met = self._met(self._probed(asked, probes, True), self.coded.drop("x")).drop("cell", "floor")
+        near = rank_hits(met.mapInArrow(lower, "query_id string, doc_id string, score double"), k, DIGITS + 4)
+        raised = self._raised(asked, near, k)
+        raised = written(raised, "raised").coalesce(asked.rdd.getNumPartitions())
+        probed = self._probed(raised, probes, True).unionByName(self._probed(raised, probes, False))
+        return rank_hits(self._met(probed, self.coded).drop("cell").mapInArrow(score, "query_id string, doc_id string, score double"), k, DIGITS)
+
+
+def estimates(code: pa.Scalar, length: pa.Scalar, off: pa.Scalar, qx: pa.Scalar, books: list[np.ndarray], dim: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """First query, inner products by codes, their largest errors and the queries, for parts of a block of queries."""
+    code = np.frombuffer(code.as_py(), np.uint8).reshape(-1, len(books))
+    y = np.frombuffer(length.as_py())[:, None] * decoded(code, books)
+    x, off = np.frombuffer(qx.as_py(), np.float32).reshape(-1, dim).astype(float), np.frombuffer(off.as_py())
+    off = off * (1 + 1e-9) + 1e-9 * np.abs(y).max(initial=0)
+    for lo in range(0, len(x), 256):
+        part = x[lo : lo + 256]
+        yield lo, part @ y.T, np.linalg.norm(part, axis=1)[:, None] * off, part
+
+
+def decoded(code: np.ndarray, books: list[np.ndarray]) -> np.ndarray:
+    """The vectors that rows of codes stand for."""
+    return np.concatenate([b[code[:, i]] for i, b in enumerate(books)], axis=1).astype(float)
+
+
+def block_hits(d: pa.Scalar, dx: pa.Scalar, q: pa.Scalar, qx: pa.Scalar, dim: int, k: int) -> pa.RecordBatch:
+    """query_id, doc_id, score: of a block of documents the ``k`` best of every query of a block, equal rounded scores by id."""
+    names, asked = np.array(d.as_py(), object), np.array(q.as_py(), object)
+    order = np.argsort(names, kind="stable")
+    names, y = names[order], np.frombuffer(dx.as_py(), np.float32).reshape(-1, dim)[order].astype(float).T
+    x, out = np.frombuffer(qx.as_py(), np.float32).reshape(-1, dim).astype(float), []
+    for lo in range(0, len(x), 256):
+        s = rounded(x[lo : lo + 256] @ y)
+        rows, columns = best_columns(s, k)
+        out.append((asked[lo + rows], names[columns], s[rows, columns]))
+    who, which, score = (np.concatenate(c) for c in zip(*out, strict=True))
+    return pa.RecordBatch.from_arrays([pa.array(who.tolist(), pa.string()), pa.array(which.tolist(), pa.string()), pa.array(score)], ["query_id", "doc_id", "score"])
 
 
 INDEX_TYPES = ("Flat", "IVFFlat", "IVFPQ")

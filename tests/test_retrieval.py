@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from math import log2
 
+import numpy as np
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -200,6 +201,32 @@ def test_cells_find_most_of_the_exact_neighbours(spark):
         assert len(exact & {(r.query_id, r.doc_id) for r in got.collect()}) >= least * len(exact)
 
 
+@pytest.mark.parametrize("name", ["ivf_topk", "pq_topk"])
+def test_registered_cells_find_the_exact_neighbours_of_vectors_of_any_length(spark, name):
+    from tests.conftest import DATA
+
+    if not DATA.exists():
+        pytest.skip("no test data")
+    v = dense.written(dense.passages(spark, str(DATA)), "passages")
+    exact = {(r.query_id, r.doc_id) for r in dense.exact_topk(v, dense.asking(v), 10, "vec_id", "vec_id", "embedding", 64).collect()}
+    got = {(r.query_id, r.doc_id) for r in dense.QUERIES[name](spark, str(DATA)).collect()}
+    assert len(exact & got) >= 0.9 * len(exact)
+
+
+@pytest.mark.parametrize("kind", ["IVFFlat", "IVFPQ"])
+def test_cells_meet_large_vectors_with_the_default_probes(spark, kind):
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(3000, 8)) * np.where(rng.random(3000) < 0.03, rng.uniform(2, 40, 3000), 1)[:, None]
+    x = x.astype(np.float32)
+    docs = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id bigint, embedding array<float>")
+    got = {}
+    for r in dense.build_index(kind, docs, "vec_id", "embedding", 8).search(dense.asking(docs), "vec_id", "embedding", 10).collect():
+        got.setdefault(int(r.query_id), {})[r.rank] = r.score
+    s = x[::100].astype(float) @ x.astype(float).T
+    for i, row in enumerate(s):
+        assert [got[i * 100][r] for r in range(1, 11)] == pytest.approx(np.sort(row)[::-1][:10].tolist(), abs=1e-4)
+
+
 def test_graph(spark):
     post = spark.createDataFrame([("a", "x", 1.0), ("a", "y", 0.6), ("b", "x", 0.8), ("b", "y", 0.7), ("c", "y", 0.5), ("c", "z", 0.4)], POST)
     g = graph.edges(post)
