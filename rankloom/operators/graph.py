@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -11,6 +15,8 @@ from rankloom.session import written
 
 #: Digits of two-hop scores: products of two weights and the decay stay clear of rounding limits.
 GRAPH_DIGITS = 8
+#: Documents in a block, and sources of a block that are compared at once.
+GRAPH_BLOCK, GRAPH_ROWS = 4_096, 512
 
 
 def edges(postings: DataFrame, threshold: float = 0.5) -> DataFrame:
@@ -32,9 +38,113 @@ def neighbours(graph: DataFrame, n: int = 50, asked: Column | None = None) -> Da
     return shared.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= n).drop("_r")
 
 
+def _doc_blocks(graph: DataFrame) -> DataFrame:
+    """ids array<string>, n, t, w binary: documents in blocks, each by id: number of terms, terms as numbers, weights."""
+    numbers = written(graph.select("term").distinct().select("term", F.monotonically_increasing_id().alias("t")), "terms")
+    rows = graph.join(numbers, "term").groupBy("doc_id").agg(F.collect_list("t").alias("t"), F.collect_list(F.col("weight").cast("double")).alias("w"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+
+        def out(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+            rows = rows.combine_chunks()
+            for lo in range(0, rows.num_rows, GRAPH_BLOCK):
+                part = rows.slice(lo, GRAPH_BLOCK).sort_by("doc_id").combine_chunks()
+                t, w = (part[c].combine_chunks() for c in ("t", "w"))
+                size = t.value_lengths().to_numpy().astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array([part["doc_id"].to_pylist()], pa.list_(pa.string())), *(pa.array([x.tobytes()]) for x in (size, t.flatten().to_numpy(), w.flatten().to_numpy()))], ["ids", "n", "t", "w"])
+
+        for batch in batches:
+            held.append(batch)
+            n += batch.num_rows
+            if n >= 4 * GRAPH_BLOCK:
+                yield from out(pa.Table.from_batches(held))
+                held, n = [], 0
+        if n:
+            yield from out(pa.Table.from_batches(held))
+
+    return rows.mapInArrow(run, "ids array<string>, n binary, t binary, w binary")
+
+
+def shared_weight(a: tuple[np.ndarray, np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray, np.ndarray], shape: tuple[int, int]) -> np.ndarray:
+    """Sum of the smaller weights of common terms. ``a``: row, term, weight; ``b``: column, term, weight by term."""
+    out = np.zeros(shape)
+    order = np.argsort(a[1], kind="stable")
+    row, term, weight = (x[order] for x in a)
+    start = np.flatnonzero(np.r_[True, term[1:] != term[:-1]]) if len(term) else np.zeros(0, int)
+    stop = np.r_[start[1:], len(term)]
+    lo, hi = np.searchsorted(b[1], term[start]), np.searchsorted(b[1], term[start], "right")
+    pairs = (stop - start) * (hi - lo)
+    few = np.repeat(pairs <= 64, stop - start)
+    width = np.repeat(hi - lo, stop - start)[few]
+    at = np.repeat(np.repeat(lo, stop - start)[few], width) + np.arange(width.sum()) - np.repeat(np.cumsum(width) - width, width)
+    np.add.at(out.reshape(-1), np.repeat(row[few], width) * shape[1] + b[0][at], np.minimum(np.repeat(weight[few], width), b[2][at]))
+    flat = out.reshape(-1)
+    for i in np.flatnonzero(pairs > 64):
+        here, there = slice(start[i], stop[i]), slice(lo[i], hi[i])
+        if 4 * pairs[i] > out.size:  # in most documents: without look-ups
+            full_a, full_b = np.zeros(shape[0]), np.zeros(shape[1])
+            full_a[row[here]], full_b[b[0][there]] = weight[here], b[2][there]
+            out += np.minimum(full_a[:, None], full_b)
+        else:
+            flat[row[here, None] * shape[1] + b[0][there]] += np.minimum(weight[here, None], b[2][there])
+    return out
+
+
+def all_neighbours(graph: DataFrame, n: int = 50) -> DataFrame:
+    """src, dst, weight as ``neighbours`` of all documents: blocks of documents meet, and no row is made of a pair that can't be chosen.
+
+    ``graph`` has a document's term once, with a weight above 0. A block of
+    sources meets up to some 64 others in one task, which keeps the ``n`` greatest weights
+    so far of each source.
+    """
+    found = written(_doc_blocks(graph), "blocks")
+    left = found.select(F.monotonically_increasing_id().alias("b"), *(F.col(c).alias("a" + c) for c in ("ids", "n", "t", "w")))
+    n_blocks = found.count()
+    met = left.repartition(max(1, n_blocks)).crossJoin(found.coalesce(1 + n_blocks // 64))  # pairs are met where they are made
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, best = None, np.zeros((0, n))
+
+        def read(row: list[pa.Scalar]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+            size = np.frombuffer(row[1].as_py(), np.int32)
+            return np.array(row[0].as_py(), object), np.repeat(np.arange(len(size)), size), np.frombuffer(row[2].as_py(), np.int64), np.frombuffer(row[3].as_py())
+
+        for batch in batches:
+            for row in zip(*batch.columns, strict=True):
+                if row[0].as_py() != block:
+                    block, (src, *a) = row[0].as_py(), read(row[1:5])
+                    best = np.zeros((len(src), n))
+                dst, *b = read(row[5:])
+                order = np.argsort(b[1], kind="stable")
+                b = [x[order] for x in b]
+                place = {d: j for j, d in enumerate(dst)}
+                for lo in range(0, len(src), GRAPH_ROWS):
+                    at = slice(*np.searchsorted(a[0], [lo, lo + GRAPH_ROWS]))
+                    own = src[lo : lo + GRAPH_ROWS]
+                    s = shared_weight((a[0][at] - lo, a[1][at], a[2][at]), tuple(b), (len(own), len(dst)))
+                    itself = [(i, place[d]) for i, d in enumerate(own) if d in place]
+                    if itself:
+                        s[tuple(np.array(itself).T)] = 0
+                    both = np.concatenate([best[lo : lo + GRAPH_ROWS], s], axis=1)
+                    best[lo : lo + GRAPH_ROWS] = np.partition(both, both.shape[1] - n, axis=1)[:, -n:]
+                    kth = best[lo : lo + GRAPH_ROWS].min(axis=1, keepdims=True)
+                    i, j = np.nonzero((s > 0) & (s >= kth - 1.01 * 10.0**-DIGITS))
+                    score = np.floor(s[i, j] * 10**DIGITS + 0.5) / 10**DIGITS
+                    order = np.lexsort((j, -score, i))
+                    i, j, score = i[order], j[order], score[order]
+                    nth = np.arange(len(i)) - np.searchsorted(i, i)
+                    i, j, score = i[nth < n], j[nth < n], score[nth < n]
+                    yield pa.RecordBatch.from_arrays([pa.array(own[i].tolist(), pa.string()), pa.array(dst[j].tolist(), pa.string()), pa.array(score)], ["src", "dst", "weight"])
+
+    rows = met.mapInArrow(run, "src string, dst string, weight double")
+    order = Window.partitionBy("src").orderBy(F.col("weight").desc(), F.col("dst"))
+    return rows.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= n).drop("_r")
+
+
 def doc_edges(graph: DataFrame, n: int = 50, asked: Column | None = None) -> DataFrame:
     """src, dst, weight in both directions: an edge stands if either end chose it, so a degree may exceed ``n``."""
-    chosen = neighbours(graph, n, asked)
+    chosen = written(all_neighbours(graph, n) if asked is None else neighbours(graph, n, asked), "chosen")
     return chosen.unionByName(chosen.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")).distinct()
 
 
@@ -89,7 +199,21 @@ def graph_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats(postings, graph, doc_edges(graph, 5, _asked()))
 
 
-QUERIES = {"graph_edges": graph_edges, "doc_similarity": doc_similarity, "graph_score": graph_score, "graph_stats": graph_stats}
+def graph_score_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``graph_score`` over the whole graph: 50 neighbours of every document."""
+    graph = _graph(spark, sf_dir)
+    terms = D.query_tokens(D.judged_queries(spark, sf_dir, D.binary(spark, sf_dir)))
+    return hop_scores(graph, doc_edges(graph), terms, k=20)
+
+
+def graph_stats_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``graph_stats`` of the whole graph: 50 neighbours of every document."""
+    postings = written(D.sparse_postings(spark, sf_dir), "postings")
+    graph = edges(postings)
+    return stats(postings, graph, doc_edges(graph))
+
+
+QUERIES = {"graph_edges": graph_edges, "doc_similarity": doc_similarity, "graph_score": graph_score, "graph_stats": graph_stats, "graph_score_full": graph_score_full, "graph_stats_full": graph_stats_full}
 
 _E = D.with_("post") + ", ed AS (SELECT * FROM post WHERE weight >= 0.5)"
 _N = """, nb AS (SELECT src, dst, weight FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY weight DESC, dst) AS r FROM (

@@ -241,6 +241,33 @@ def test_graph(spark):
     assert tuple(graph.stats(post, g, graph.doc_edges(g, 1)).first()) == (5, 5, 3, 2)
 
 
+def test_whole_graph_against_brute_force(spark, monkeypatch):
+    from collections import defaultdict
+
+    from tests.conftest import DATA
+
+    if not DATA.exists():
+        pytest.skip("no test data")
+    monkeypatch.setattr(graph, "GRAPH_BLOCK", 40)
+    monkeypatch.setattr(graph, "GRAPH_ROWS", 16)
+    docs = defaultdict(dict)
+    g = graph._graph(spark, str(DATA))
+    for r in g.collect():
+        docs[r.doc_id][r.term] = r.weight
+    chosen = set()
+    for a in docs:
+        near = [(-round(sum(min(w, docs[b][t]) for t, w in docs[a].items() if t in docs[b]), 6), b) for b in docs if b != a and docs[a].keys() & docs[b].keys()]
+        chosen |= {frozenset((a, b)) for _, b in sorted(near)[:50]}
+    assert {frozenset((r.src, r.dst)) for r in graph.doc_edges(g).collect()} == chosen
+    row = graph.QUERIES["graph_stats_full"](spark, str(DATA)).first()
+    assert row.doc_edges == len(chosen) > graph.QUERIES["graph_stats"](spark, str(DATA)).first().doc_edges
+    links = graph.neighbours(g).unionByName(graph.neighbours(g).select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")).distinct()
+    terms = graph.D.query_tokens(graph.D.judged_queries(spark, str(DATA), graph.D.binary(spark, str(DATA))))
+    want = graph.hop_scores(g, links, terms, k=20)
+    got = graph.QUERIES["graph_score_full"](spark, str(DATA))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
 def test_context_budget(spark):
     hits = spark.createDataFrame([("q", "a", 1, " " + "x" * 30), ("q", "b", 2, "y" * 30), ("q", "c", 3, "z"), ("p", "a", 1, None)], "query_id string, doc_id string, rank int, content string")
     got = {r.query_id: r for r in rag.build_context(hits, 10).collect()}
