@@ -64,7 +64,8 @@ def exact_topk(docs: DataFrame, queries: DataFrame, k: int, key: str, query_key:
     """query_id, doc_id, score, rank: the ``k`` greatest inner products of every query, exactly; all documents if there are fewer.
 
     Queries and documents meet as blocks, one matrix product each, of which the
-    ``k`` best per query leave the task; neither side is collected or broadcast
+    ``k`` best per query, of equal rounded scores those with the smallest ids,
+    leave the task; neither side is collected or broadcast
     whole. ``normalize`` makes it the cosine. Repeated documents should be
     removed before. Null, broken and (normalised) zero vectors are in no row.
     """
@@ -76,12 +77,7 @@ def exact_topk(docs: DataFrame, queries: DataFrame, k: int, key: str, query_key:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for d, dx, q, qx in zip(*(batch.column(i) for i in range(4)), strict=True):
-                names, asked = np.array(d.as_py(), object), np.array(q.as_py(), object)
-                s = np.frombuffer(qx.as_py(), np.float32).reshape(-1, dim) @ np.frombuffer(dx.as_py(), np.float32).reshape(-1, dim).T
-                take = min(k + 8, s.shape[1])  # a few more, for ties by id after rounding
-                best = np.argpartition(-s, take - 1, axis=1)[:, :take]
-                rows = np.repeat(np.arange(len(asked)), take)
-                yield pa.RecordBatch.from_arrays([pa.array(asked[rows].tolist(), pa.string()), pa.array(names[best.ravel()].tolist(), pa.string()), pa.array(np.take_along_axis(s, best, 1).ravel().astype(float))], ["query_id", "doc_id", "score"])
+                yield block_hits(d, dx, q, qx, dim, k)
 
     return rank_hits(pairs.mapInArrow(run, "query_id string, doc_id string, score double"), k, DIGITS)
 

@@ -189,6 +189,13 @@ def test_dense_search(spark):
     assert dense.build_index("Flat", docs, "doc_id", "v", 2) is None
 
 
+def test_more_ties_than_k_go_by_id(spark):
+    docs = spark.createDataFrame([(f"d{i:04}", [0.6, 0.8]) for i in reversed(range(600))] + [("best", [1.0, 0.0])], "doc_id string, v array<float>").coalesce(1)
+    asked = spark.createDataFrame([("q", [1.0, 0.0])], "query_id string, v array<float>")
+    got = ranked(dense.exact_topk(docs, asked, 5, "doc_id", "query_id", "v", 2), "doc_id")
+    assert got == ["best", "d0000", "d0001", "d0002", "d0003"]
+
+
 def test_cells_find_most_of_the_exact_neighbours(spark):
     from tests.conftest import DATA
 
