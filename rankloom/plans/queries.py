@@ -31,9 +31,8 @@ def upsert_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def hybrid_stages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages for the judged queries: dense, sparse, hybrid, hybrid+rerank."""
-    settings = Settings(top_k=10)
-    found = HybridRetriever(LexicalEncoder(), HashedEncoder(), coverage_scores, settings).index(D.corpus(spark, sf_dir))
+    """All stages for the judged queries, 100 candidates each: dense, sparse, hybrid, hybrid+rerank."""
+    found = HybridRetriever(LexicalEncoder(), HashedEncoder(), coverage_scores, Settings()).index(D.corpus(spark, sf_dir))
     return found.search(D.judged_queries(spark, sf_dir, D.graded(spark, sf_dir)), all_stages=True)
 
 

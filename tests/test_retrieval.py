@@ -302,3 +302,15 @@ def test_hybrid_stages(spark):
     with pytest.raises(ValueError):
         HybridRetriever()
     assert query_prefix("BAAI/bge-base") != "" and query_prefix("unknown") == ""
+
+
+def test_registered_stages_keep_a_hundred_candidates(spark):
+    from rankloom.plans.queries import hybrid_stages
+    from tests.conftest import DATA
+
+    if not DATA.exists():
+        pytest.skip("no test data")
+    docs = graph.D.corpus(spark, str(DATA)).count()
+    got = hybrid_stages(spark, str(DATA)).groupBy("stage").agg(F.max("rank").alias("n")).collect()
+    deepest = {r.stage: r.n for r in got}
+    assert docs > 10 and deepest["dense"] == deepest["hybrid"] == deepest["hybrid+rerank"] == min(100, docs)
