@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rankloom.operators.blocks import HITS, Floors, chosen, hit_rows, per_batch
 from rankloom.operators.sparse import rank_hits
 from rankloom.session import written
 from rankloom.sources.tables import table
@@ -32,54 +33,58 @@ def matrix(column: pa.Array, dim: int | None = None) -> tuple[np.ndarray, np.nda
     return at[ok], x[ok].astype(np.float32)
 
 
-def blocks(df: DataFrame, key: str, vector: str, dim: int, rows: int, normalize: bool) -> DataFrame:
-    """ids array<string>, x binary: ``df`` in blocks of float32 vectors; no shuffle. Null keys and broken vectors are left out."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, held = [], []
-
-        def out() -> pa.RecordBatch:
-            x = np.concatenate(held)
-            return pa.RecordBatch.from_arrays([pa.array([ids], pa.list_(pa.string())), pa.array([x.tobytes()])], ["ids", "x"])
-
-        for batch in batches:
-            at, x = matrix(batch.column(1), dim)
-            if normalize:
-                length = np.linalg.norm(x, axis=1)
-                at, x = at[length > 0], x[length > 0] / length[length > 0, None]
-            names = batch.column(0).take(pa.array(at)).to_pylist()
-            for lo in range(0, len(names), rows):
-                if ids and len(ids) + len(names[lo : lo + rows]) > rows:
-                    yield out()
-                    ids, held = [], []
-                ids.extend(names[lo : lo + rows])
-                held.append(x[lo : lo + rows])
-        if ids:
-            yield out()
-
-    return df.filter(F.col(key).isNotNull() & F.col(vector).isNotNull()).select(F.col(key).cast("string"), vector).mapInArrow(run, "ids array<string>, x binary")
-
-
-def exact_topk(docs: DataFrame, queries: DataFrame, k: int, key: str, query_key: str, vector: str, dim: int, normalize: bool = False, spread: int = 0) -> DataFrame:
+def exact_topk(docs: DataFrame, queries: DataFrame, k: int, key: str, query_key: str, vector: str, dim: int, normalize: bool = False, size: int | None = None) -> DataFrame:
     """query_id, doc_id, score, rank: the ``k`` greatest inner products of every query, exactly; all documents if there are fewer.
 
-    Queries and documents meet as blocks, one matrix product each, of which the
-    ``k`` best per query, of equal rounded scores those with the smallest ids,
-    leave the task; neither side is collected or broadcast
-    whole. ``normalize`` makes it the cosine. Repeated documents should be
-    removed before. Null, broken and (normalised) zero vectors are in no row.
+    Batches of queries, of a bounded number, are broadcast and compared with
+    the documents where they are: no vector is shuffled, and only rows that can
+    still be among the ``k`` best (of equal rounded scores those with the
+    smallest ids) leave a task. ``normalize`` makes it the cosine. Repeated
+    documents should be removed before. Null, broken and (normalised) zero
+    vectors are in no row.
     """
-    left = blocks(docs, key, vector, dim, DOC_BLOCK, normalize).select(F.col("ids").alias("d"), F.col("x").alias("dx"))
-    right = blocks(queries, query_key, vector, dim, QUERY_BLOCK, normalize).select(F.col("ids").alias("q"), F.col("x").alias("qx"))
-    pairs = left.crossJoin(right)
-    pairs = pairs.repartition(spread or max(8, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for d, dx, q, qx in zip(*(batch.column(i) for i in range(4)), strict=True):
-                yield block_hits(d, dx, q, qx, dim, k)
+    def usable(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        at, x = matrix(column, dim)
+        x = x.astype(float)
+        if normalize:
+            length = np.linalg.norm(x, axis=1)
+            at, x = at[length > 0], x[length > 0] / length[length > 0, None]
+        return at, x
+
+    spark = docs.sparkSession
+    asked = queries.filter(F.col(query_key).isNotNull()).select(F.col(query_key).cast("string").alias("query_id"), F.col(vector).cast("array<float>").alias("x"))
+    rows = docs.filter(F.col(key).isNotNull() & F.col(vector).isNotNull()).select(F.col(key).cast("string"), vector)
+
+    def hits(part: pa.Table) -> DataFrame:
+        at, x = usable(part["x"].combine_chunks()) if part.num_rows else (np.zeros(0, int), np.zeros((0, dim)))
+        shared = spark.sparkContext.broadcast((part["query_id"].take(pa.array(at)).to_pylist(), x))
 
-    return rank_hits(pairs.mapInArrow(run, "query_id string, doc_id string, score double"), k, DIGITS)
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            ids, q = shared.value
+            floors = Floors(len(ids), k, -np.inf)
+            for whole in batches:
+                for lo in range(0, whole.num_rows if ids else 0, DOC_BLOCK):
+                    batch = whole.slice(lo, DOC_BLOCK)
+                    at, y = usable(batch.column(1))
+                    names = np.array(batch.column(0).take(pa.array(at)).to_pylist(), object)
+                    order = np.argsort(names, kind="stable")
+                    names, y = names[order], y[order].T
+                    for first in range(0, len(q) if len(names) else 0, 256):
+                        s = rounded(q[first : first + 256] @ y)
+                        able = s >= floors.floor[first : first + 256, None]
+                        found = []
+                        for i in np.flatnonzero(able.any(axis=1)).tolist():
+                            columns = np.flatnonzero(able[i])
+                            columns = columns[chosen(s[i, columns], k)]
+                            floors.add(first + i, s[i, columns])
+                            found.append((first + i, names[columns], s[i, columns]))
+                        if found:
+                            yield hit_rows(found, ids)
+
+        return rows.mapInArrow(run, HITS)
+
+    return rank_hits(per_batch(written(asked, "asked"), hits, size), k, DIGITS)
 
 
 def kmeans(x: np.ndarray, k: int, rounds: int = 15, seed: int = 3) -> np.ndarray:

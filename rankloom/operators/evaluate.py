@@ -86,7 +86,7 @@ def evaluate_run(run: DataFrame, judgments: DataFrame, cutoffs: Sequence[int] =
     """metric, k, value of a run: linear gain, all judged queries, five digits."""
     rows = means(per_query(run_ranks(run), judgments, cutoffs))
     long = rows.select("k", F.explode(F.create_map(*[x for m in ("ndcg", "recall", "map", "precision", "mrr") for x in (F.lit(m), F.col(m))])).alias("metric", "value"))
-    return long.select("metric", "k", F.round("value", 5).alias("value"))
+    return long.select("metric", "k", F.round(F.round("value", 10), 5).alias("value"))  # whatever order the sum took
 
 
 def evaluate_lists(ranked: DataFrame, judgments: DataFrame, cutoffs: Sequence[int] = (5, 10, 20), skip_missing: bool = True) -> DataFrame:
@@ -226,7 +226,7 @@ SQL = {
     "ndcg_linear": _BM25 + ", " + _RUN.format(t="SELECT * FROM hits") + ", " + metrics_sql("rr", "graded", (3, 10)) + " SELECT query_id, k, round(ndcg, 6) AS ndcg, round(map, 6) AS map, round(precision, 6) AS precision FROM pq",
     "ndcg_exp": _BM25 + ", " + metrics_sql("hits", "graded", (5, 10, 20), True) + " SELECT query_id, k, round(ndcg, 6) AS ndcg FROM pq",
     "evaluate_run": _BM25 + ", " + _RUN.format(t="SELECT * FROM hits") + ", " + metrics_sql("rr", "graded", CUTOFFS)
-    + " SELECT metric, k, round(value, 5) AS value FROM (UNPIVOT (SELECT k, avg(ndcg) AS ndcg, avg(recall) AS recall, avg(map) AS map, avg(precision) AS precision, avg(mrr) AS mrr FROM pq GROUP BY 1) ON ndcg, recall, map, precision, mrr INTO NAME metric VALUE value)",
+    + " SELECT metric, k, round(round(value, 10), 5) AS value FROM (UNPIVOT (SELECT k, avg(ndcg) AS ndcg, avg(recall) AS recall, avg(map) AS map, avg(precision) AS precision, avg(mrr) AS mrr FROM pq GROUP BY 1) ON ndcg, recall, map, precision, mrr INTO NAME metric VALUE value)",
     "best_setting": rerank.STAGE
     + f""", b AS (SELECT weight, query_id, doc_id, rank AS first, round(weight / (60 + rr) + (1 - weight) / (60 + rank), 9) AS score
       FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC, rank) AS rr FROM cov) CROSS JOIN {rerank._BW}),

@@ -76,7 +76,7 @@ def excerpt(c: str, n: int = 500):
 def shortlist(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """The five best BM25 documents of every judged query with their contents, and the queries."""
     docs, queries = D.corpus(spark, sf_dir), D.judged_queries(spark, sf_dir, D.graded(spark, sf_dir))
-    hits = written(sparse.top_k_dot(written(sparse.bm25_weights(docs), "bm25"), D.query_tokens(queries), 5), "hits")
+    hits = written(sparse.bm25_topk_of(docs, D.query_tokens(queries), 5), "hits")
     return hits.join(docs, "doc_id"), queries
 
 

@@ -88,8 +88,7 @@ BLEND_WEIGHTS = (0.0, 0.2, 0.3, 0.5, 0.7, 0.85, 1.0)
 def first_stage(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """BM25 hits of the judged queries, and coverage scores of them."""
     docs, queries = D.corpus(spark, sf_dir), D.judged_queries(spark, sf_dir, D.graded(spark, sf_dir))
-    index = written(sparse.bm25_weights(docs), "bm25")
-    hits = written(sparse.top_k_dot(index, D.query_tokens(queries), 10), "hits")
+    hits = written(sparse.bm25_topk_of(docs, D.query_tokens(queries), 10), "hits")
     return hits, coverage_scores(hits, queries, docs)
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rankloom.functions.text import token_rows, tokens
+from rankloom.operators import blocks
 from rankloom.plans import datasets as D
 from rankloom.session import written
 
@@ -29,53 +30,39 @@ def explode_postings(docs: DataFrame, key: str, weights: str) -> DataFrame:
     return docs.select(F.col(key).alias("doc_id"), F.explode(positive).alias("term", "weight"))
 
 
-def top_k_dot(postings: DataFrame, terms: DataFrame, k: int, share: float = 0.2) -> DataFrame:
+def top_k_dot(postings: DataFrame, terms: DataFrame, k: int) -> DataFrame:
     """The ``k`` documents of each query with the greatest sum of weight products, exactly.
 
     Where the postings have a column ``peak``, the greatest product of peak and
     query weight is added to the sum.
 
-    ``postings``: doc_id, term, weight not below 0, unique. ``terms``: query_id,
+    ``postings``: doc_id, term, weight above 0, unique. ``terms``: query_id,
     term, weight above 0, unique. Documents without a common term are in no
-    result; a query without terms has none. Ties go by doc_id.
-
-    Terms in more than ``share`` of the postings' documents would bring almost
-    every document to every query. Queries with the same such terms are one:
-    their partial scores are computed once, and only the ``k`` best documents
-    of each are handed to its queries. That is exact: a document without a
-    rarer term of the query and with ``k`` documents before it by the partial
-    score can't be among the best, as those score at least as much in full.
+    result; a query without terms has none. Ties go by doc_id. Postings become
+    blocks of documents (one shuffle); an index that is searched again keeps
+    its blocks.
     """
-    if "peak" not in postings.columns:
-        postings = postings.withColumn("peak", F.lit(0.0))
-    n = postings.agg(F.count_distinct("doc_id").alias("n"))
-    df = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    frequent = df.crossJoin(F.broadcast(n)).filter(F.col("df") > F.greatest(F.lit(50.0), F.col("n") * share)).select("term", F.lit(True).alias("frequent"))
-    marked = terms.filter("weight > 0").join(frequent, "term", "left")
-    common = marked.filter("frequent")
-    kinds = common.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("term", "weight"))).alias("terms"))
-    kinds = kinds.withColumn("kind", F.xxhash64("terms"))
-    shared = kinds.groupBy("kind").agg(F.first("terms").alias("terms")).select("kind", F.explode("terms").alias("t")).select("kind", "t.term", F.col("t.weight").alias("qw"))
-    total, top = F.sum(F.col("weight") * F.col("qw")), F.max(F.col("peak") * F.col("qw"))
-    partial = postings.join(shared, "term").groupBy("kind", "doc_id").agg(total.alias("part"), top.alias("part_top"))
-    best = Window.partitionBy("kind").orderBy(F.round(F.col("part") + F.col("part_top"), DIGITS).desc(), F.col("doc_id"))
-    leaders = partial.withColumn("r", F.row_number().over(best)).filter(F.col("r") <= k).select("kind", "doc_id", (F.col("part") + F.col("part_top")).alias("score"))
-    rare = marked.filter("frequent IS NULL").select("query_id", "term", F.col("weight").alias("qw"))
-    found = postings.join(rare, "term").groupBy("query_id", "doc_id").agg(total.alias("own"), top.alias("own_top"))
-    query_kind = kinds.select("query_id", "kind")
-    score = F.col("own") + F.coalesce("part", F.lit(0.0)) + F.greatest("own_top", F.coalesce("part_top", F.col("own_top")))
-    full = found.join(query_kind, "query_id", "left").join(partial, ["kind", "doc_id"], "left").select("query_id", "doc_id", score.alias("score"))
-    others = leaders.join(query_kind, "kind").select("query_id", "doc_id", "score")
-    return rank_hits(full.unionByName(others).groupBy("query_id", "doc_id").agg(F.max("score").alias("score")), k)
-
-
-def bm25_weights(docs: DataFrame, k1: float = 1.2, b: float = 0.75, keep_k1_factor: bool = False) -> DataFrame:
+    return rank_hits(blocks.top_k_blocks(blocks.store_blocks(blocks.posting_blocks(postings)), terms, k, DIGITS), k)
+
+
+def bm25_topk_of(docs: DataFrame, terms: DataFrame, k: int, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """The ``k`` best documents (doc_id, content) of each query by BM25, without a shuffle of postings."""
+    return rank_hits(blocks.top_k_blocks(blocks.store_blocks(blocks.text_blocks(docs)), terms, k, DIGITS, blocks.Bm25(k1, b)), k)
+
+
+def term_counts(docs: DataFrame) -> DataFrame:
+    """doc_id, term, tf of doc_id, content."""
+    return token_rows(docs, "doc_id", "content").groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"))
+
+
+def bm25_weights(docs: DataFrame, k1: float = 1.2, b: float = 0.75, keep_k1_factor: bool = False, counted: DataFrame | None = None) -> DataFrame:
     """doc_id, term, weight: what each term adds to a document's BM25 score per occurrence in the query.
 
     idf = ln(1 + (N - df + 0.5) / (df + 0.5)), lengths as they are, not
     quantised. N counts all documents, the average length those with a token.
+    ``counted``: the :func:`term_counts`, where they are there already.
     """
-    counted = token_rows(docs, "doc_id", "content").groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"))
+    counted = term_counts(docs) if counted is None else counted
     lengths = counted.groupBy("doc_id").agg(F.sum("tf").alias("len"))
     totals = docs.agg(F.count(F.lit(1)).cast("double").alias("n")).crossJoin(F.broadcast(lengths.agg((F.sum("len").cast("double") / F.count(F.lit(1))).alias("avgdl"))))
     df = counted.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
@@ -84,9 +71,9 @@ def bm25_weights(docs: DataFrame, k1: float = 1.2, b: float = 0.75, keep_k1_fact
     return counted.join(lengths, "doc_id").join(df, "term").crossJoin(F.broadcast(totals)).select("doc_id", "term", (idf * tf * ((k1 + 1) if keep_k1_factor else 1)).alias("weight"))
 
 
-def lexical_weights(docs: DataFrame, top_terms: int = 100) -> DataFrame:
+def lexical_weights(docs: DataFrame, top_terms: int = 100, counted: DataFrame | None = None) -> DataFrame:
     """doc_id, term, weight: ln(1 + tf) ln(1 + N / df), each document's ``top_terms``; stands in for a learned encoder."""
-    counted = token_rows(docs, "doc_id", "content").groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"))
+    counted = term_counts(docs) if counted is None else counted
     df = counted.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     n = docs.agg(F.count(F.lit(1)).cast("double").alias("n"))
     weighted = counted.join(df, "term").crossJoin(F.broadcast(n)).select("doc_id", "term", F.round(F.log1p("tf") * F.log(1 + F.col("n") / F.col("df")), DIGITS).alias("weight"))
@@ -190,13 +177,13 @@ def p_corpus_render(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.corpus(spark, sf_dir).select("doc_id", F.length("content").alias("n_chars"), F.substring("content", 1, 200).alias("snippet"))
 
 
-def _bm25(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    queries = D.judged_queries(spark, sf_dir, D.graded(spark, sf_dir))
-    return written(bm25_weights(D.corpus(spark, sf_dir)), "bm25"), D.query_tokens(queries)
+def graded_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The terms of the queries that have a graded judgment."""
+    return D.query_tokens(D.judged_queries(spark, sf_dir, D.graded(spark, sf_dir)))
 
 
 def bm25_topk(spark: SparkSession, sf_dir: str, k: int = 10) -> DataFrame:
-    return top_k_dot(*_bm25(spark, sf_dir), k)
+    return bm25_topk_of(D.corpus(spark, sf_dir), graded_queries(spark, sf_dir), k)
 
 
 def _sparse(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -220,13 +207,14 @@ def pg_overlap_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def dismax_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     postings, terms = _sparse(spark, sf_dir)
-    return top_k_dot(written(dismax_postings(saturation(postings)), "dismax"), terms, 10)
+    return top_k_dot(dismax_postings(saturation(postings)), terms, 10)
 
 
 def es_hybrid_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    weights, terms = _bm25(spark, sf_dir)
-    lexical = written(lexical_weights(D.corpus(spark, sf_dir)), "lexical")
-    return top_k_dot(written(hybrid_postings(weights, dismax_postings(saturation(lexical))), "hybrid"), terms, 10)
+    docs = written(D.corpus(spark, sf_dir), "docs")
+    counted = written(term_counts(docs), "counts")
+    lexical = written(lexical_weights(docs, counted=counted), "lexical")
+    return top_k_dot(hybrid_postings(bm25_weights(docs, counted=counted), dismax_postings(saturation(lexical))), graded_queries(spark, sf_dir), 10)
 
 
 def lexical_encode_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
