@@ -41,13 +41,10 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
-def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
-    """``df`` as a checkpoint in the shared folder: later jobs read the files,
-    and lost executors take nothing with them."""
-    sc = df.sparkSession.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(shared_dir(df.sparkSession))
-    return df.checkpoint(eager)
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is a file or folder at ``path``, on any file system that the session knows."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
