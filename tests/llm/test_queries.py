@@ -17,5 +17,5 @@ def test_matches_sql(name, same):
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
 def test_runs(name, spark):
-    n = QUERIES[name](spark, str(DATA)).count()
-    assert n > 0 or name == "p10_found"  # the smallest data has too few positive labels
+    folder = DATA.parent / "sf0.01" if name == "p10_found" else DATA  # the smallest data has no positive label that repeats
+    assert QUERIES[name](spark, str(folder)).count() > 0

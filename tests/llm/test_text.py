@@ -172,10 +172,17 @@ def test_sum_of_squares_rule():
     assert gaps == squares(sizes.tolist(), 30)[0] and max(used.values()) <= 30
 
 
+def read(text):
+    lexicon = toxicity.Lexicon()
+    ids, _, fresh = lexicon.read([text])
+    return [[[None, *fresh][i] for i in ids[a:b]] for a, b in zip(*toxicity.passages(ids), strict=True)]
+
+
 def test_plain_text():
-    assert [" ".join(p) for p in toxicity.passages("You 1d1ot c r e t i n\nDIMWIIIIIT b.r.a.i.n.l.e.s.s n@k3d fil​thy іdіоt")] == ["you idiot cretin", "dimwit brainles naked filthy idiot"]
-    assert toxicity.passages(None) == toxicity.passages("  ") == []
-    long = toxicity.passages("word " * 1000)
+    assert [" ".join(p) for p in read("You 1d1ot c r e t i n\nDIMWIIIIIT b.r.a.i.n.l.e.s.s n@k3d fil​thy іdіоt")] == ["you idiot cretin", "dimwit brainles naked filthy idiot"]
+    assert read(None) == read("  ") == []
+    assert read("好的。再见。") == [["好的"], ["再见"]]
+    long = read("word " * 1000)
     assert max(map(len, long)) <= toxicity.WINDOW and sum(map(len, long)) >= 1000
 
 
@@ -201,10 +208,14 @@ def test_toxic_chain_on_held_out_texts(spark):
     positive = np.array([rnd.binomial(int(n), 0.95 if t else 0.05) for n, t in zip(total, truth, strict=True)], float)
     chain = toxicity.ToxicChain(texts, positive, total)
     held, real = corpus(400, 10)
-    score, each = chain.score([*held, None, "", "x " * 5000])
+    score, each = toxicity.Scorer(chain).score([*held, None, "", "x " * 5000])
     flagged = score[: len(held)] >= chain.cut
     assert flagged[real].mean() >= 0.95 and flagged[~real].mean() <= 0.02
-    assert score[-3] == score[-2] == 0 and each.shape[1] == len(toxicity.HINTS)
+    assert score[-3] == score[-2] == 0 and each.shape[1] == toxicity.CATEGORIES
+    cut_off = toxicity.ToxicChain(texts, positive, total)
+    cut_off.links[-1].extra[:] = 0  # the categories' probabilities carry the last link
+    alone = toxicity.Scorer(cut_off).score(held)[0] >= chain.cut
+    assert alone[real].mean() <= flagged[real].mean() - 0.2
 
     docs = spark.createDataFrame([(i, t, "s", 1.0) for i, t in enumerate(texts)] + [(9998, None, None, 0.0), (9999, "", "s", 0.0)], "doc_id bigint, text string, source string, score_ double")
     labels = spark.createDataFrame([(i, i, int(t)) for i, t in enumerate(truth)] + [(0, 0, int(truth[0])), (5000, 1, None), (5001, None, 1), (5002, 77777, 1)], "label_id bigint, doc_id bigint, toxic int")
