@@ -159,10 +159,10 @@ def bounded_batches(asked: DataFrame, key: str = "query_id", size: int | None =
         yield (asked if n == 1 else asked.filter(F.pmod(F.xxhash64(key), F.lit(n)) == i)).toArrow(), n == 1
 
 
-def per_batch(asked: DataFrame, hits: Callable[[pa.Table], DataFrame], size: int | None = None) -> DataFrame:
+def per_batch(asked: DataFrame, hits: Callable[[pa.Table], DataFrame], key: str = "query_id", size: int | None = None) -> DataFrame:
     """The hits of all parts of ``asked``. With several parts each is written before the next begins, so one is held at a time."""
     out = None
-    for rows, only in bounded_batches(asked, size=size):
+    for rows, only in bounded_batches(asked, key, size):
         found = hits(rows)
         if not only:
             found = written(found, "hits")
@@ -271,7 +271,7 @@ def top_k_blocks(blocks: DataFrame, terms: DataFrame, k: int, digits: int, bm25:
 
         return blocks.mapInArrow(run, HITS)
 
-    return per_batch(written(asked, "asked"), hits, size)
+    return per_batch(written(asked, "asked"), hits, size=size)
 
 
 def _search(row: tuple, asked: Batch, weigh: Bm25 | None, floors: Floors, k: int, digits: int) -> Iterator[tuple[int, list[str], np.ndarray]]:

@@ -84,7 +84,7 @@ def exact_topk(docs: DataFrame, queries: DataFrame, k: int, key: str, query_key:
 
         return rows.mapInArrow(run, HITS)
 
-    return rank_hits(per_batch(written(asked, "asked"), hits, size), k, DIGITS)
+    return rank_hits(per_batch(written(asked, "asked"), hits, size=size), k, DIGITS)
 
 
 def kmeans(x: np.ndarray, k: int, rounds: int = 15, seed: int = 3) -> np.ndarray:
