@@ -9,23 +9,30 @@ from rankloom.functions.text import BLANK_CLASS, BLANKS, strip
 from rankloom.operators.records import current_records
 from rankloom.sources.tables import table
 
+# Full stops that no blank follows; what belongs to the character before it; what joins the next one.
+WIDE_STOPS = "。！？｡"
+ATTACHED = r"[\p{M}\x{200D}\x{1F3FB}-\x{1F3FF}]"
+JOINER = r"\x{200D}"
+
 
 def step_pattern(limit: int, overlap: int) -> str:
     """The regular expression whose matches, end to end, are the new characters of each piece.
 
     Alternatives from the strongest boundary to the weakest: paragraph, line,
-    sentence, blank, and at last any character. The first three must use at
-    least half of the room, so that pieces don't become small. What is left and
-    fits is taken whole. The first match
-    may fill the limit; later ones leave room for the overlap. The first piece
-    is never shorter than the overlap.
+    sentence (a full stop before white space, or one of scripts that set none),
+    blank, any character that the next one doesn't belong to (combining marks,
+    joined and modified emoji), and at last any character. The first three must
+    use at least half of the room, so that pieces don't become small. What is
+    left and fits is taken whole. The first match may fill the limit; later
+    ones leave room for the overlap. The first piece is never shorter than the
+    overlap.
     """
     if not 0 < overlap <= limit // 4:
         raise ValueError("the overlap must be positive and at most a quarter of the limit")
 
     def ways(room: int, least: int, at: str) -> list[str]:
         half = room // 2
-        ends = [(r"\n\r?\n", half, 3), (r"\n", half, 1), (rf"[.!?…。](?={BLANK_CLASS})", half, 1), (BLANK_CLASS, least - 1, 1)]
+        ends = [(r"\n\r?\n", half, 3), (r"\n", half, 1), (rf"(?:[.!?…](?={BLANK_CLASS})|[{WIDE_STOPS}])", half, 1), (BLANK_CLASS, least - 1, 1), (rf"(?!{JOINER})[\s\S](?!{ATTACHED})", least - 1, 1)]
         return [f"{at}[\\s\\S]{{{low},{room - width}}}{end}" for end, low, width in ends]
 
     first, later = ways(limit, overlap, r"\A"), ways(limit - overlap, 1, r"(?!\A)")
@@ -61,7 +68,12 @@ def pieces(text: Column, limit: int = 2048, overlap: int = 200) -> Column:
 
 
 def has_stretch(text: Column, limit: int = 2048) -> Column:
-    """Whether ``text`` has more than ``limit`` characters in a row without white space."""
+    """Whether ``text`` has more than ``limit`` characters in a row without white space.
+
+    A property of the text, by its own expression: where a stretch ends decides
+    whether the cutter meets it with one of its last alternatives, and a wide
+    full stop inside of it may spare them.
+    """
     return F.coalesce(F.regexp_like(strip(text), F.lit(f"[^{BLANKS}]{{{limit + 1}}}")), F.lit(False))
 
 
