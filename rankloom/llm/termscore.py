@@ -46,27 +46,33 @@ def word_bags(df: DataFrame, key: str, text: str) -> DataFrame:
     return df.select(F.col(key), F.col(text)).mapInArrow(bags, f"key {kind}, n_words int, words array<string>, tfs array<int>")
 
 
-def em(tf: np.ndarray, background: np.ndarray, starts: np.ndarray, weight: float, rounds: int, tol: float = 1e-6) -> np.ndarray:
+def em(tf: np.ndarray, background: np.ndarray, starts: np.ndarray, weight: float, tol: float = 1e-6) -> np.ndarray:
     """Term probabilities of each record's own model; ``starts`` are the records' first positions.
 
     E: a term's count times the chance that this record's model, not the
-    background, produced it. M: the normalised expectations. Records are
-    iterated together, until no probability moves by ``tol``.
+    background, produced it. M: the normalised expectations. Each record is
+    iterated until none of its probabilities moves by ``tol``, and is left
+    alone from then on, so its result does not depend on its neighbours.
     """
     sizes = np.diff(np.append(starts, len(tf)))
     own = tf / np.repeat(np.add.reduceat(tf, starts), sizes)
-    for _ in range(rounds):
-        mass = weight * own
-        expected = tf * mass / ((1 - weight) * background + mass + 1e-300)
-        new = expected / np.repeat(np.add.reduceat(expected, starts), sizes)
-        moved = np.abs(new - own).max()
-        own = new
-        if moved < tol:
-            break
+    place, count, other, at = np.arange(len(tf)), tf, (1 - weight) * background, starts
+    mine = own.copy()
+    while len(at):
+        mass = weight * mine
+        expected = count * mass / (other + mass + 1e-300)
+        new = expected / np.repeat(np.add.reduceat(expected, at), sizes)
+        moving = np.maximum.reduceat(np.abs(new - mine), at) >= tol
+        mine = new
+        if not moving.all():
+            keep = np.repeat(moving, sizes)
+            own[place[~keep]] = mine[~keep]
+            place, count, other, mine, sizes = place[keep], count[keep], other[keep], mine[keep], sizes[moving]
+            at = np.cumsum(sizes) - sizes
     return own
 
 
-def distinctive_terms(df: DataFrame, key: str, text: str, n: int = 10, least_words: int = 0, least_tf: int = 2, weight: float = 0.05, rounds: int = 60) -> DataFrame:
+def distinctive_terms(df: DataFrame, key: str, text: str, n: int = 10, least_words: int = 0, least_tf: int = 2, weight: float = 0.05) -> DataFrame:
     """``key``, ``term``, ``score``, ``rank`` (1 to ``n``): each record's most characteristic terms.
 
     ``df`` has unique keys. The background probability of a term is its share
@@ -80,8 +86,8 @@ def distinctive_terms(df: DataFrame, key: str, text: str, n: int = 10, least_wor
 
     Word bags are written once to the shared folder and read twice. Counting
     has a map-side part. Frequent terms (at most 1 / HEAD_SHARE) are broadcast;
-    of the rest, each posting finds its total in a window over its term, which
-    by choice holds less than HEAD_SHARE of all words.
+    of the rest, each posting finds its total by a join on its term, which by
+    choice holds less than HEAD_SHARE of all words.
     """
     spark = df.sparkSession
     path = scratch_path(spark, "bags")
@@ -99,7 +105,8 @@ def distinctive_terms(df: DataFrame, key: str, text: str, n: int = 10, least_wor
 
     head_terms = spark.createDataFrame(head[["term"]]) if len(head) else counts.select("term").limit(0)
     tail = bags.select("key", posting).select("key", F.col("p.words").alias("term"), F.col("p.tfs").alias("tf")).join(F.broadcast(head_terms), "term", "left_anti")
-    totals = tail.groupBy("term").agg(F.sum("tf").alias("cf"))
+    common_tail = F.count(F.lit(1)) * 2 > records
+    totals = tail.groupBy("term").agg(F.when(common_tail, -F.sum("tf")).otherwise(F.sum("tf")).alias("cf"))  # below 0: in more than half of the records
     found = tail.join(totals, "term").groupBy("key").agg(F.transform(F.sort_array(F.collect_list(F.struct("term", "cf"))), lambda x: x["cf"]).alias("cfs"))
     wanted = bags.filter((F.col("n_words") >= least_words) & (F.size("words") > 0))
 
@@ -114,11 +121,14 @@ def distinctive_terms(df: DataFrame, key: str, text: str, n: int = 10, least_wor
             starts = np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64)
             at = pc.index_in(words, value_set=terms).fill_null(len(terms)).to_numpy()
             background, rare = probability[at], at == len(terms)
-            background[rare] = batch.column(3).flatten().to_numpy() / total  # both in the order of the terms
+            cfs = batch.column(3).flatten().to_numpy()  # both in the order of the terms
+            background[rare] = np.abs(cfs) / total
+            usual = common[at]
+            usual[rare] = cfs < 0
             tf = batch.column(2).flatten().to_numpy().astype(float)
-            own = em(tf, background, starts, weight, rounds)
+            own = em(tf, background, starts, weight)
             record = np.repeat(np.arange(len(sizes)), sizes)
-            able = np.flatnonzero((tf >= least_tf) & ~common[at])
+            able = np.flatnonzero((tf >= least_tf) & ~usual)
             order = able[np.lexsort((able, -np.round(own[able], 9), record[able]))]  # terms are sorted in a record
             first = np.searchsorted(record[order], np.arange(len(sizes)))
             rank = np.arange(len(order)) - first[record[order]] + 1
