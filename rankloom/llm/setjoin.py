@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from math import ceil, log
+from math import ceil, exp, lgamma, log
 
 import numpy as np
 import pyarrow as pa
@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from rankloom.functions.text import strip
 from rankloom.operators.records import current_records
-from rankloom.session import scratch_path
+from rankloom.session import scratch_path, written
 from rankloom.sources.tables import table
 
 #: Bits of the sketch that is compared before two sets are.
@@ -21,8 +21,12 @@ SKETCH = 128
 RECALL = 0.9998
 #: Standard deviations by which a sketch at the threshold may fall short.
 SLACK = 3.5
-#: Runs of equal prefixes above this length go deeper before pairs are compared.
+#: Runs of equal prefixes above this length are divided again before pairs are compared.
 RUN = 2_048
+#: Chance that a pair at the threshold stays together in some division of a long run.
+RUN_RECALL = 0.9995
+#: Planted rows that a task compares, about, and those that it holds at once besides an unfinished run.
+TASK_ROWS, HELD_ROWS = 400_000, 65_536
 
 
 def depth_of(n: int, common: float = 0.06) -> int:
@@ -75,16 +79,38 @@ def pairs_in_runs(keys: np.ndarray, rows: np.ndarray, test) -> Iterator[tuple[np
         distance += 1
 
 
-def deeper(rows: np.ndarray, sketch: np.ndarray, threshold: float, test) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of a long run: it is divided again, by samples of sketch bits, in as many orders as keep the recall."""
-    bits = np.unpackbits(sketch[rows].view(np.uint8), axis=1)
-    agree = (1 + threshold) / 2
-    depth = min(60, max(1, ceil(log(len(rows) / 64) / log(1 / 0.56))))
-    for t in range(trees_for(agree**depth)):
+def orders_for(depth: int, threshold: float) -> int:
+    """Samples of ``depth`` sketch bits after which a pair at the threshold has agreed on all of one with chance RUN_RECALL.
+
+    All samples are of the same SKETCH bits: a pair that agrees on m of them
+    agrees on a sample by the hypergeometric chance of that m. Averaged over m,
+    as far as the comparison of sketches lets pairs pass.
+    """
+    p = (1 + threshold) / 2
+    m = np.arange(least_bits(threshold), SKETCH + 1)
+    log_comb = lambda n, k: lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1)
+    weight = np.exp([log_comb(SKETCH, int(k)) + k * log(p) + (SKETCH - k) * log(1 - p) for k in m])
+    chance = np.array([exp(log_comb(int(k), depth) - log_comb(SKETCH, depth)) if k >= depth else 0.0 for k in m])
+    met = lambda t: (weight * (1 - (1 - chance) ** t)).sum() / weight.sum()
+    high = 1
+    while met(high) < RUN_RECALL:
+        high *= 2
+    low = high // 2
+    while high - low > 1:
+        middle = (low + high) // 2
+        low, high = (low, middle) if met(middle) >= RUN_RECALL else (middle, high)
+    return high
+
+
+def divided(prefix: int, sketch: np.ndarray, threshold: float) -> Iterator[np.ndarray]:
+    """New prefixes of a long run's rows, by as many samples of sketch bits as keep the recall."""
+    bits = np.unpackbits(sketch.view(np.uint8), axis=1)
+    depth = min(40, max(1, ceil(log(len(sketch) / 64) / log(1 / 0.56))))
+    for t in range(orders_for(depth, threshold)):
         chosen = np.random.default_rng(t).choice(SKETCH, depth, replace=False)
-        keys = bits[:, chosen].astype(np.int64) @ (1 << np.arange(depth, dtype=np.int64))
-        order = np.argsort(keys, kind="stable")
-        yield from pairs_in_runs(keys[order], rows[order], test)
+        key = bits[:, chosen].astype(np.uint64) @ (np.uint64(1) << np.arange(depth, dtype=np.uint64))
+        key = (key ^ np.uint64(prefix & (1 << 64) - 1)) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(t)
+        yield ((key ^ key >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)).view(np.int64)
 
 
 def candidate_pairs(sets: DataFrame, threshold: float, n: int) -> DataFrame:
@@ -107,30 +133,37 @@ def candidate_pairs(sets: DataFrame, threshold: float, n: int) -> DataFrame:
                         key ^= key >> np.uint64(31)
                     yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), batch.column(0), size, *[pa.array(words[:, i].copy()) for i in range(2)]], ["prefix", "id", "size", "s0", "s1"])
 
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [b for b in batches if b.num_rows]
-        if not held:
-            return
-        whole = pa.Table.from_batches(held)
-        prefix, ids, sizes = (whole[c].to_numpy() for c in ("prefix", "id", "size"))
-        sketch = np.stack([whole["s0"].to_numpy(), whole["s1"].to_numpy()], axis=1)
-        order = np.lexsort((ids, prefix))
-        keys = prefix[order]
-        cuts = np.flatnonzero(np.diff(keys, prepend=keys[0] - 1 if len(keys) else 0))
+    found = written(_compared(sets.mapInArrow(plant, PLANTED), n * trees, threshold, False), "met")
+    pairs, long = found.filter("prefix IS NULL").select("a", "b"), found.filter("prefix IS NOT NULL").drop("a", "b")
+    n_long = long.count()
+    if n_long:  # runs that are spread over the cluster once more
+        pairs = pairs.unionByName(_compared(long, n_long, threshold, True).select("a", "b"))
+    return pairs.distinct()
+
+
+PLANTED = "prefix bigint, id bigint, size smallint, s0 bigint, s1 bigint"
+
+
+def _compared(planted: DataFrame, n_rows: int, threshold: float, last: bool) -> DataFrame:
+    """``a``, ``b`` of rows with equal prefixes, or rows of long runs with new prefixes (not if this is the ``last`` division).
+
+    Tasks are as many as the rows need. They get their rows in the order of
+    the prefixes and hold one run, or HELD_ROWS, at a time.
+    """
+
+    def compare(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        keys, ids, sizes = (rows[c].to_numpy() for c in ("prefix", "id", "size"))
+        sketch = np.stack([rows["s0"].to_numpy(), rows["s1"].to_numpy()], axis=1)
+        cuts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
         lengths = np.diff(np.append(cuts, len(keys)))
-        long = lengths > RUN
-        short = np.repeat(~long, lengths)
+        long = (lengths > RUN) & (not last)
+        near = np.flatnonzero(np.repeat(~long, lengths))
 
         def test(a: np.ndarray, b: np.ndarray) -> np.ndarray:
             return alike(a, b, sizes, sketch, threshold) & (ids[a] != ids[b])
 
-        def all_pairs() -> Iterator[tuple[np.ndarray, np.ndarray]]:
-            yield from pairs_in_runs(keys[short], order[short], test)
-            for at, length in zip(cuts[long], lengths[long], strict=True):
-                yield from deeper(order[at : at + length], sketch, threshold, test)
-
         kept, size = [], 0
-        for a, b in all_pairs():
+        for a, b in pairs_in_runs(keys[near], near, test):
             kept.append(np.stack([np.minimum(ids[a], ids[b]), np.maximum(ids[a], ids[b])]))
             size += len(a)
             if size > 200_000:
@@ -138,14 +171,36 @@ def candidate_pairs(sets: DataFrame, threshold: float, n: int) -> DataFrame:
                 kept, size = [], 0
         if kept:
             yield _batch(kept)
-
-    planted = sets.select("id", "hashes").mapInArrow(plant, "prefix bigint, id bigint, size smallint, s0 bigint, s1 bigint")
-    return planted.repartition("prefix").mapInArrow(meet, "a bigint, b bigint").distinct()
+        for lo, n in zip(cuts[long].tolist(), lengths[long].tolist(), strict=True):
+            for prefix in divided(int(keys[lo]), np.ascontiguousarray(sketch[lo : lo + n]), threshold):
+                none, own = pa.nulls(n, pa.int64()), rows.slice(lo, n)
+                yield pa.RecordBatch.from_arrays([none, none, pa.array(prefix), *(own[c].combine_chunks() for c in ("id", "size", "s0", "s1"))], ["a", "b", "prefix", "id", "size", "s0", "s1"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n, enough = [], 0, HELD_ROWS
+        for batch in batches:
+            held.append(batch)
+            n += batch.num_rows
+            if n >= enough:
+                whole = pa.Table.from_batches(held).combine_chunks()
+                keys = whole["prefix"].to_numpy()
+                done = int(np.searchsorted(keys, keys[-1]))  # the last run may go on
+                if done:
+                    yield from compare(whole.slice(0, done).combine_chunks())
+                held, n = whole.slice(done).to_batches(), n - done
+                enough = max(HELD_ROWS, 2 * n)
+        if n:
+            yield from compare(pa.Table.from_batches(held).combine_chunks())
+
+    parts = max(planted.sparkSession.sparkContext.defaultParallelism, -(-n_rows // TASK_ROWS))
+    ordered = planted.repartition(parts, "prefix").sortWithinPartitions("prefix", "id")
+    return ordered.mapInArrow(run, "a bigint, b bigint, " + PLANTED)
 
 
 def _batch(kept: list[np.ndarray]) -> pa.RecordBatch:
     pairs = np.unique(np.concatenate(kept, axis=1), axis=1)
-    return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
+    none = [pa.nulls(len(pairs[0]), t) for t in (pa.int64(), pa.int64(), pa.int16(), pa.int64(), pa.int64())]
+    return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1]), *none], ["a", "b", "prefix", "id", "size", "s0", "s1"])
 
 
 class SimilarSets:
@@ -160,8 +215,9 @@ class SimilarSets:
     few of them; classes with a common prefix are neighbours, and there are as
     many trees as bring a pair at the threshold together with chance RECALL.
     The prefix gets deeper with the logarithm of the number of classes. A run
-    of equal prefixes that is still long is divided by samples of sketch bits,
-    again to that recall; none is cut off. Neighbours that pass the comparison
+    of equal prefixes that is still longer than RUN is divided by samples of
+    sketch bits, and shuffled once more by these, to RUN_RECALL; none is cut
+    off. Neighbours that pass the comparison
     of sizes and sketches are verified on the sets.
 
     ``members``: ``key``, ``class`` (its smallest key). ``classes``: ``class``,
@@ -196,7 +252,8 @@ class SimilarSets:
         self.pairs = checked.select(small.alias("class_a"), large.alias("class_b"), "similarity").distinct()
 
     def expanded(self) -> DataFrame:
-        """``a`` < ``b``: every pair of records, with those inside of a class."""
+        """``a`` < ``b``: every pair of records, with those inside of a class. A class of n copies gives n (n - 1) / 2 rows: where pairs of
+        copies aren't asked for one by one, take ``members`` and ``pairs``, or :meth:`links`."""
         m = self.members
         left, right = m.select(F.col("class").alias("class_a"), F.col("key").alias("x")), m.select(F.col("class").alias("class_b"), F.col("key").alias("y"))
         several = self.classes.filter("n > 1").select("class")
