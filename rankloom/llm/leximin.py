@@ -25,7 +25,14 @@ def long_hits(df: DataFrame, group: str, lists: Sequence[str], item: str = "doc_
     return hits.filter(F.col("i").isNotNull() & F.col("s").isNotNull() & ~F.isnan("s")).groupBy("g", "l", "i").agg(F.max(F.col("s") + F.lit(0.0)).alias("s"))
 
 
-def leximin_ranking(hits: DataFrame, n_lists: int, least_lists: int = 1) -> DataFrame:
+def with_lists(df: DataFrame, group: str, lists: Sequence[str], least: int, item: str = "doc_id", score: str = "score") -> DataFrame:
+    """``g`` of the groups in which at least ``least`` lists have a hit that counts; no list is unfolded."""
+    counts = lambda h: h[item].isNotNull() & h[score].isNotNull() & ~F.isnan(h[score].cast("double"))
+    has = [F.max(F.coalesce(F.exists(F.col(c), counts), F.lit(False)).cast("int")).alias(f"_l{k}") for k, c in enumerate(lists)]
+    return df.groupBy(F.col(group).alias("g")).agg(*has).filter(sum((F.col(f"_l{k}") for k in range(len(lists))), F.lit(0)) >= least).select("g")
+
+
+def leximin_ranking(hits: DataFrame, n_lists: int, groups: DataFrame | None = None) -> DataFrame:
     """``g``, ``i``, ``shares`` (ascending), ``rank`` of each group's items in leximin order.
 
     ``hits`` has ``g``, ``l``, ``i``, ``s``, unique in the first three. A score
@@ -33,19 +40,18 @@ def leximin_ranking(hits: DataFrame, n_lists: int, least_lists: int = 1) -> Data
     order within a list counts, ties count alike, and no range dominates. An
     item's shares, 0 for a list without it, are sorted ascending and compared
     from the weakest on, greater first: a strong score never hides a weak one.
-    Equal vectors go by item. Groups with fewer than ``least_lists`` non-empty
-    lists give nothing.
+    Equal vectors go by item. Only the ``groups`` (a table of ``g``), where
+    given, are ranked. A list of one group is ranked in one task.
     """
     per_list = Window.partitionBy("g", "l").orderBy("s")
     shared = hits.withColumn("p", F.cume_dist().over(per_list))
-    vectors = shared.groupBy("g", "i").agg(F.collect_list("p").alias("v"), F.collect_set("l").alias("ls"))
+    vectors = shared.groupBy("g", "i").agg(F.collect_list("p").alias("v"))
     group = Window.partitionBy("g")
     order = group.orderBy(F.col("shares").desc(), F.col("i").asc())
     padded = F.sort_array(F.concat(F.col("v"), F.array_repeat(F.lit(0.0), F.lit(n_lists) - F.size("v"))))
+    if groups is not None:
+        vectors = vectors.join(groups, "g", "left_semi")
     ranked = vectors.withColumn("shares", padded).withColumn("rank", F.row_number().over(order))
-    if least_lists > 1:
-        sizes = hits.groupBy("g").agg(F.count_distinct("l").alias("n")).filter(F.col("n") >= least_lists).select("g")
-        ranked = ranked.join(sizes, "g", "left_semi")
     return ranked.select("g", "i", "shares", "rank")
 
 
@@ -60,7 +66,8 @@ def p5_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The three leading documents of each query with at least two non-empty lists."""
-    ranked = leximin_ranking(long_hits(table(spark, sf_dir, "query_results"), "query_id", LISTS), len(LISTS), least_lists=2)
+    results = table(spark, sf_dir, "query_results")
+    ranked = leximin_ranking(long_hits(results, "query_id", LISTS), len(LISTS), with_lists(results, "query_id", LISTS, 2))
     return ranked.filter("rank <= 3").select(F.col("g").alias("query_id"), F.col("i").alias("doc_id"))
 
 
