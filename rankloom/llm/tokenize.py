@@ -41,7 +41,11 @@ class SpeculativeBPE:
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
-            model = json.load(f)["model"]
+            whole = json.load(f)
+        model, cut = whole["model"], whole.get("pre_tokenizer") or {}
+        plain = not any(model.get(o) for o in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
+        if model.get("type") != "BPE" or not plain or whole.get("normalizer") or cut.get("type") != "ByteLevel" or cut.get("add_prefix_space") or not cut.get("use_regex", True):
+            raise ValueError(f"{path} is not a plain byte-level BPE tokenizer")
         byte_of = {ord(c): b for b, c in enumerate(byte_letters())}
         self.vocab = {bytes(byte_of[ord(c)] for c in t): i for t, i in model["vocab"].items() if all(ord(c) in byte_of for c in t)}
         pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
@@ -62,7 +66,13 @@ class SpeculativeBPE:
             if len(t) > 1:
                 lengths.setdefault(t[:2], set()).add(len(t))
         self.lengths = {k: sorted(v, reverse=True) for k, v in lengths.items()}
-        self.compatible: dict[int, bool] = {}
+        self.whole: dict[int, bool] = {}
+
+    def stays_whole(self, token: int, raw: bytes) -> bool:
+        """Whether merging the token's bytes gives the token; looked into once."""
+        if (known := self.whole.get(token)) is None:
+            known = self.whole[token] = self.merge(raw) == [token]
+        return known
 
     def propose(self, word: bytes) -> list[int]:
         """Greedy longest match."""
@@ -137,7 +147,7 @@ class SpeculativeBPE:
         found = {}
         open_words, proposals = [], []
         for w, r in zip(words, raw, strict=True):
-            if (t := self.vocab.get(r)) is not None:
+            if (t := self.vocab.get(r)) is not None and self.stays_whole(t, r):
                 found[w] = [t]
             else:
                 open_words.append((w, r))
