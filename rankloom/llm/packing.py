@@ -52,11 +52,12 @@ def pack(df: DataFrame, key: str, size: str, capacity: int = 2048, group_items:
     Only an item over the capacity is split: into full pieces, each a container
     of its own, and the rest. Null, zero and negative sizes need no container
     and give no row. Items are spread over groups of about ``group_items`` by a
-    hash of key and size (the sizes are written to the shared folder once and
-    counted there), the longest are placed first, and every group packs
+    hash of key, size and place in the table (the sizes are written to the
+    shared folder once and counted there), so that no repeated or null key
+    fills a group; the longest are placed first, and every group packs
     on its own, so at most a few containers per group are not full; nothing
-    else is shuffled. Repeated rows are items of their own. The result depends
-    on the data and the number of groups only, so a lost task repeats it.
+    else is shuffled. Repeated rows are items of their own. A written table's
+    places don't change, so a lost task repeats its result.
     Other columns are ignored.
     """
     path = scratch_path(df.sparkSession, "sizes")
@@ -84,7 +85,7 @@ def pack(df: DataFrame, key: str, size: str, capacity: int = 2048, group_items:
             rows = [whole["key"].take(pa.array(at)).combine_chunks(), pa.array(piece, pa.int32()), pa.array(length), pa.array(names)]
             yield from pa.Table.from_arrays(rows, ["key", "piece", "size", "container"]).to_batches(max_chunksize=10_000)
 
-    grouped = items.withColumn("group", F.pmod(F.xxhash64("key", "size"), F.lit(n_groups)).cast("int")).repartition(n_groups, "group")
+    grouped = items.withColumn("group", F.pmod(F.xxhash64("key", "size", F.monotonically_increasing_id()), F.lit(n_groups)).cast("int")).repartition(n_groups, "group")
     return grouped.mapInArrow(place, f"key {kind}, piece int, size bigint, container string").withColumnRenamed("key", key)
 
 
