@@ -48,6 +48,18 @@ def test_paragraphs_win_and_long_texts_pass(spark):
         split.step_pattern(100, 60)
 
 
+def test_boundaries_of_other_scripts(spark):
+    chinese = "".join("数据库中的向量索引" + "很快" * (i % 5) + "。！？"[i % 3] for i in range(600))
+    for piece in cut(spark, [chinese], 2048, 200)[0][:-1]:
+        assert piece[-1] in "。！？"
+    marks, family = "e\u0301\u0323" * 400, "\U0001F469\u200D\U0001F469\u200D\U0001F467\U0001F3FD" * 90
+    for text in (marks, family, "\u0301" * 300):
+        got = cut(spark, [text], 100, 20)[0]
+        steps = [got[0], *(p[20:] for p in got[1:])]
+        assert "".join(steps) == text and max(map(len, got)) <= 100
+        assert text[0] == "\u0301" or all(s[0] == text[0] and s[-1] != "\u200d" for s in steps)
+
+
 def test_oversized_records(spark):
     rows = [("a", "x " * 2000, 1, 0), ("a", "short", 2, 0), ("b", "y" * 3000, 1, 0), ("b", "y" * 3000, 1, 0), ("c", "z " * 1500, 1, 0), ("d", None, 1, 0), (None, "w " * 2000, 1, 0), ("e", "v" * 2048, 1, 0), ("f", " " + "v" * 2049 + " ", 1, 0)]
     df = spark.createDataFrame(rows, "id string, t string, pieces int, hard int")
@@ -78,7 +90,7 @@ def test_term_scores_match_brute_force(spark, monkeypatch):
     common = ["the", "of", "and", "data", "model"]
     docs = [" ".join([rnd.choice(common) for _ in range(40)] + [f"name{i % 9}"] * 4 + [f"rare{i}"] + [f"w{rnd.randrange(30)}" for _ in range(12)]) for i in range(40)]
     df = spark.createDataFrame([(f"d{i}", t, 1) for i, t in enumerate(docs)] + [("n", None, 1), ("e", "", 1), ("s", "the the", 1)], "id string, t string, term int")
-    got = termscore.distinctive_terms(df, "id", "t", n=3, weight=0.1, rounds=300).collect()
+    got = termscore.distinctive_terms(df, "id", "t", n=3, weight=0.1).collect()
     from collections import Counter
 
     want = plm([Counter(t.split()) for t in [*docs, "the the"]], 0.1)
@@ -91,6 +103,25 @@ def test_term_scores_match_brute_force(spark, monkeypatch):
     assert {r.id for r in termscore.distinctive_terms(df, "id", "t", least_words=58).collect()} == set()
 
 
+def test_records_are_iterated_on_their_own():
+    rng = np.random.default_rng(3)
+    tf, background = rng.integers(1, 6, 60).astype(float), rng.dirichlet(np.ones(60))
+    one = termscore.em(tf[:10], background[:10], np.array([0]), 0.05)
+    many = termscore.em(tf, background, np.arange(0, 60, 10), 0.05)
+    assert np.array_equal(one, many[:10]) and abs(one.sum() - 1) < 1e-9
+
+
+def test_terms_of_most_records_are_common_however_rare(spark, monkeypatch):
+    monkeypatch.setattr(termscore, "HEAD_SHARE", 0.9)  # no term is looked up in the broadcast
+    df = spark.createDataFrame([(f"d{i}", f"usual usual name{i} name{i} " + " ".join(f"w{i}x{j}" for j in range(5))) for i in range(9)], "id string, t string")
+    assert {r.id: r.term for r in termscore.distinctive_terms(df, "id", "t", n=1).collect()} == {f"d{i}": f"name{i}" for i in range(9)}
+
+
+def test_other_tokenizers_are_refused():
+    with pytest.raises(ValueError, match="byte-level"):
+        tokenize.SpeculativeBPE("/opt/tokenizers/word_bpe_49k.json")
+
+
 def test_tokens_equal_the_public_encoder(spark):
     tokenizers = pytest.importorskip("tokenizers")
     enc = tokenizers.Tokenizer.from_file(FILE)
