@@ -87,6 +87,14 @@ def exact_topk(docs: DataFrame, queries: DataFrame, k: int, key: str, query_key:
     return rank_hits(per_batch(written(asked, "asked"), hits, size=size), k, DIGITS)
 
 
+def store_vectors(vectors: DataFrame, path: str, key: str, vector: str, dim: int) -> None:
+    """Vectors as a Parquet table; raises if one that isn't null has another length than ``dim``."""
+    vectors.write.mode("overwrite").parquet(path)
+    other = vectors.sparkSession.read.parquet(path).filter(F.size(vector) != dim).select(key, F.size(vector).alias("n")).limit(1).collect()
+    if other:
+        raise ValueError(f"vector {other[0][0]!r} has {other[0].n} elements, not {dim}")
+
+
 def kmeans(x: np.ndarray, k: int, rounds: int = 15, seed: int = 3) -> np.ndarray:
     """Centroids of a sample; empty clusters take the worst-served points."""
     rng = np.random.default_rng(seed)

@@ -14,17 +14,19 @@ from pyspark.sql import functions as F
 
 from rankloom.operators import fusion, rerank, sparse
 from rankloom.plans import datasets as D
+from rankloom.session import written
 from rankloom.sources.tables import table
 
 CUTOFFS = (1, 3, 5, 10, 100, 1000)
 SMALL_SAMPLE = 50
 
 
-def run_ranks(run: DataFrame) -> DataFrame:
-    """query_id, doc_id, rank: by score descending, then doc_id descending. A document counts once, with its highest score; null and NaN scores don't count."""
-    best = run.filter("score IS NOT NULL AND NOT isnan(score) AND doc_id IS NOT NULL").groupBy("query_id", "doc_id").agg(F.max(F.col("score") + F.lit(0.0)).alias("score"))
-    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("doc_id").desc())
-    return best.select("query_id", "doc_id", F.row_number().over(order).alias("rank"))
+def run_ranks(run: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """query_id, doc_id, rank (and ``by``): by score descending, then doc_id descending. A document counts once, with its highest score; null and NaN scores don't count."""
+    live = run.filter("score IS NOT NULL AND NOT isnan(score) AND doc_id IS NOT NULL")
+    best = live.groupBy(*by, "query_id", "doc_id").agg(F.max(F.col("score") + F.lit(0.0)).alias("score"))
+    order = Window.partitionBy(*by, "query_id").orderBy(F.col("score").desc(), F.col("doc_id").desc())
+    return best.select(*by, "query_id", "doc_id", F.row_number().over(order).alias("rank"))
 
 
 def judged_hits(ranked: DataFrame, judgments: DataFrame) -> DataFrame:
@@ -96,6 +98,23 @@ def evaluate_lists(ranked: DataFrame, judgments: DataFrame, cutoffs: Sequence[in
     return means(per_query(first, judged, cutoffs, exponential=True))
 
 
+def evaluate_grouped(ranked: DataFrame, judgments: DataFrame, by: str, groups: DataFrame | None = None, cutoffs: Sequence[int] = (5, 10, 20), exponential: bool = True) -> DataFrame:
+    """``by``, k and the averages of many systems or settings in one plan.
+
+    ``ranked``: ``by``, query_id, doc_id, rank. Without ``groups`` a group
+    counts the judged queries that it has results for; with ``groups`` (a small
+    table of ``by``) each counts every judged query.
+    """
+    both = F.to_json(F.struct(F.col(by).alias("g"), F.col("query_id").alias("q")))
+    first = ranked.groupBy(by, "query_id", "doc_id").agg(F.min("rank").alias("rank"))
+    if groups is None:
+        judged = judgments.join(ranked.select(by, "query_id").distinct(), "query_id")
+    else:
+        judged = judgments.crossJoin(F.broadcast(groups.select(by)))
+    rows = per_query(first.select(both.alias("query_id"), "doc_id", "rank"), judged.select(both.alias("query_id"), "doc_id", "grade"), cutoffs, exponential)
+    return means(rows.withColumn(by, F.get_json_object("query_id", "$.g")), (by, "k"))
+
+
 def missing_judged(judgments: DataFrame, docs: DataFrame) -> DataFrame:
     """query_id, doc_id of judgments on documents that the corpus lacks."""
     return judgments.join(docs.select("doc_id"), "doc_id", "left_anti").select("query_id", "doc_id")
@@ -123,10 +142,29 @@ def best_setting(rows: DataFrame, setting: Sequence[str], metric: str = "ndcg")
 
 
 def latency_summary(df: DataFrame, value: Column) -> DataFrame:
-    """Count, mean, median, 95th percentile (interpolated) of a duration."""
-    return df.select(value.alias("v")).agg(
-        F.count("v").alias("n"), F.round(F.avg("v"), 6).alias("mean"), F.round(F.percentile("v", F.lit(0.5)), 6).alias("p50"), F.round(F.percentile("v", F.lit(0.95)), 6).alias("p95")
-    )
+    """Count, mean, median, 95th percentile (interpolated) of a duration; nulls don't count.
+
+    Values are counted first, then ordered by ranges: a value's position is
+    that of its range, from the ranges' totals, and its place in the range. No
+    task sees more than one range, and what is collected is a row per range.
+    """
+    counted = df.select(value.alias("v")).filter("v IS NOT NULL").groupBy("v").agg(F.count(F.lit(1)).alias("n"))
+    counted = written(counted.repartitionByRange("v").withColumn("part", F.spark_partition_id()), "values")
+    parts = counted.groupBy("part").agg(F.sum("n").alias("m"), F.min("v").alias("low"))
+    before = F.coalesce(F.sum("m").over(Window.orderBy("low").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = parts.select("part", before.alias("before"))  # a row per range
+    up_to = F.sum("n").over(Window.partitionBy("part").orderBy("v"))
+    placed = counted.join(F.broadcast(offsets), "part").select("v", "n", (F.col("before") + up_to).alias("last"))
+    total = counted.agg(F.sum("n").alias("all"), F.coalesce(F.sum(F.col("v") * F.col("n")) / F.sum("n"), F.lit(None)).alias("mean"))
+    at = placed.crossJoin(F.broadcast(total))
+
+    def share(p: float) -> Column:
+        place = p * (F.col("all") - 1)
+        here = lambda i: F.min(F.when(F.col("last") > i, F.col("v")))
+        low, high, part = here(F.floor(place)), here(F.ceil(place)), F.first(place - F.floor(place))
+        return F.round(low + (high - low) * part, 6)
+
+    return at.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.round(F.first("mean"), 6).alias("mean"), share(0.5).alias("p50"), share(0.95).alias("p95"))
 
 
 def _bm25_run(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -176,12 +214,13 @@ def best_blend(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def systems(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lists = fusion.query_lists(spark, sf_dir)
-    judgments, out = D.binary(spark, sf_dir), None
-    for name, ranked in [*[(n, lists.filter(F.col("list") == i).select("query_id", F.lower("doc_id").alias("doc_id"), F.col("pos").alias("rank"))) for i, n in enumerate(fusion.LISTS)], ("fused", fusion.fuse(lists, "rrf", fusion.WEIGHTS).select("query_id", F.lower("doc_id").alias("doc_id"), "rank"))]:
-        rows = evaluate_lists(ranked, judgments, (10,)).select(F.lit(name).alias("system"), "k", F.round("ndcg", 6).alias("ndcg"), F.round("recall", 6).alias("recall"), F.round("mrr", 6).alias("mrr"), "n_queries")
-        out = rows if out is None else out.unionByName(rows)
-    return out
+    """Every list of query_results and their fusion, from one pass over the lists."""
+    lists = written(fusion.query_lists(spark, sf_dir), "lists")
+    name = F.element_at(F.array(*map(F.lit, fusion.LISTS)), F.col("list") + 1)
+    each = lists.select(name.alias("system"), "query_id", F.lower("doc_id").alias("doc_id"), F.col("pos").alias("rank"))
+    fused = fusion.fuse(lists, "rrf", fusion.WEIGHTS).select(F.lit("fused").alias("system"), "query_id", F.lower("doc_id").alias("doc_id"), "rank")
+    rows = evaluate_grouped(each.unionByName(fused), D.binary(spark, sf_dir), "system", cutoffs=(10,))
+    return rows.select("system", "k", *[F.round(m, 6).alias(m) for m in ("ndcg", "recall", "mrr")], "n_queries")
 
 
 def latency(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,9 +25,10 @@ def orphans(refs: DataFrame, targets: DataFrame, keys: Mapping[str, str], semant
     parts are null, and each group is anti-joined on its other parts, each as
     ``semantics`` says (see SEMANTICS). A reference without any part is none,
     and never an orphan. ``valid`` = (time in ``refs``, start, end in
-    ``targets``) is one more part, the time, that matches from start on and
-    before end (null: open); a null time is never compared. Parts named in
-    ``never_null`` are known to be set, which spares their masks.
+    ``targets``) is one more part, the time, with a mask of its own: where it is
+    set, a target matches only from its start on and before its end (null:
+    open); where it is null, it is left out whatever the ``semantics``. Parts
+    named in ``never_null`` are known to be set, which spares their masks.
 
     Targets are made unique per group first (the earliest start, the latest
     end), so no reference is doubled. Hot keys, with 1/``share`` of the
@@ -49,6 +50,10 @@ def orphans(refs: DataFrame, targets: DataFrame, keys: Mapping[str, str], semant
         if any(mask) and semantics == "full":
             found.append(own)
             continue
+        if valid:
+            t = F.col(valid[0])
+            found.append(_missing(own.filter(t.isNull()), targets, given, keys, None, share))
+            own = own.filter(t.isNotNull())
         found.append(_missing(own, targets, given, keys, valid, share))
     if not found:
         return refs.limit(0)
@@ -56,24 +61,29 @@ def orphans(refs: DataFrame, targets: DataFrame, keys: Mapping[str, str], semant
 
 
 def _missing(refs: DataFrame, targets: DataFrame, given: list[str], keys: Mapping[str, str], valid: tuple[str, str, str] | None, share: int) -> DataFrame:
-    """The rows of ``refs`` without a target; all parts in ``given`` are set."""
-    parts = [F.col(keys[n]).alias(f"_k{i}") for i, n in enumerate(given)]
-    ends = [F.min(valid[1]).alias("_from"), F.max(F.coalesce(F.col(valid[2]), F.lit("9999-12-31").cast("timestamp_ntz").cast(targets.schema[valid[2]].dataType))).alias("_to")] if valid else [F.lit(None).alias("_from")]
-    unique = targets.groupBy(*parts).agg(*ends)
-    unique = unique.filter(reduce(lambda a, b: a & b, [F.col(f"_k{i}").isNotNull() for i in range(len(given))]))
-    mine = refs.withColumns({f"_k{i}": F.col(n) for i, n in enumerate(given)})
-    on = [f"_k{i}" for i in range(len(given))]
-    total = mine.agg(F.count(F.lit(1)).alias("_all"))
-    hot = mine.groupBy(*on).agg(F.count(F.lit(1)).alias("_n")).crossJoin(F.broadcast(total)).filter(F.col("_n") * share >= F.col("_all")).select(*on)
-    known = F.lit(True).alias("_known")
-    hot_targets = F.broadcast(unique.join(F.broadcast(hot), on, "left_semi").select("*", known))
-    marked = mine.join(F.broadcast(hot.withColumn("_hot", F.lit(True))), on, "left")
-    looked = marked.filter("_hot").join(hot_targets, on, "left").unionByName(marked.filter("_hot IS NULL").join(unique.select("*", known), on, "left"))
-    bad: Column = F.col("_known").isNull()
+    """The rows of ``refs`` without a target: anti-joins on the parts in ``given``, which are all set, and with ``valid`` on the time, also set."""
+    here, there = [f"_k{i}" for i in range(len(given))], [f"_t{i}" for i in range(len(given))]
+    parts = [F.col(keys[n]).alias(t) for n, t in zip(given, there, strict=True)]
+    known = reduce(lambda a, b: a & b, [F.col(t).isNotNull() for t in there])
+    if valid:
+        never = F.lit("9999-12-31").cast("timestamp_ntz").cast(targets.schema[valid[2]].dataType)
+        ends = [F.min(valid[1]).alias("_from"), F.max(F.coalesce(F.col(valid[2]), never)).alias("_to")]
+        unique = targets.groupBy(*parts).agg(*ends).filter(known)
+    else:
+        unique = targets.select(*parts).distinct().filter(known)
+    mine = refs.withColumns({k: F.col(n) for n, k in zip(given, here, strict=True)})
+    match: Column = reduce(lambda a, b: a & b, [F.col(k) == F.col(t) for k, t in zip(here, there, strict=True)])
     if valid:
-        t = F.col(valid[0])
-        bad = bad | F.coalesce((t < F.col("_from")) | (t >= F.col("_to")), F.lit(False))
-    return looked.filter(bad).select(*[F.col(f"`{c}`") for c in refs.columns])
+        at = F.col(valid[0])
+        match = match & (F.col("_from").isNull() | (at >= F.col("_from"))) & (at < F.col("_to"))
+    total = mine.agg(F.count(F.lit(1)).alias("_all"))
+    counted = mine.groupBy(*here).agg(F.count(F.lit(1)).alias("_n")).crossJoin(F.broadcast(total))
+    hot = counted.filter(F.col("_n") * share >= F.col("_all")).select(*here)
+    same = reduce(lambda a, b: a & b, [F.col(k) == F.col(t) for k, t in zip(here, there, strict=True)])
+    hot_targets = F.broadcast(unique.join(F.broadcast(hot), same, "left_semi"))
+    marked = mine.join(F.broadcast(hot.withColumn("_hot", F.lit(True))), here, "left")
+    lost = marked.filter("_hot").join(hot_targets, match, "left_anti").unionByName(marked.filter("_hot IS NULL").join(unique, match, "left_anti"))
+    return lost.select(*[F.col(f"`{c}`") for c in refs.columns])
 
 
 def _refs(df: DataFrame, name: str, ref: str, id_of: Column, at: str) -> DataFrame:

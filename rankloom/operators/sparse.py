@@ -136,7 +136,7 @@ def hybrid_postings(bm25: DataFrame, dismax: DataFrame, alpha: float = 0.4, beta
 def match_all(docs: DataFrame, queries: DataFrame, terms: DataFrame, k: int) -> DataFrame:
     """Queries without a positive term match everything alike: the first ``k`` documents by id, score 1."""
     bare = queries.select("query_id").join(terms.filter("weight > 0"), "query_id", "left_anti")
-    first = docs.select("doc_id").distinct().orderBy("doc_id").limit(k)
+    first = docs.select("doc_id").orderBy("doc_id").limit(k)  # ids are unique
     order = Window.partitionBy("query_id").orderBy("doc_id")
     return bare.crossJoin(F.broadcast(first)).select("query_id", "doc_id", F.lit(1.0).alias("score")).withColumn("rank", F.row_number().over(order))
 
@@ -177,6 +177,11 @@ def p_corpus_render(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.corpus(spark, sf_dir).select("doc_id", F.length("content").alias("n_chars"), F.substring("content", 1, 200).alias("snippet"))
 
 
+def token_terms(queries: DataFrame) -> DataFrame:
+    """query_id, term, weight: how often the query has the token."""
+    return D.query_tokens(queries)
+
+
 def graded_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The terms of the queries that have a graded judgment."""
     return D.query_tokens(D.judged_queries(spark, sf_dir, D.graded(spark, sf_dir)))

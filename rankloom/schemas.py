@@ -7,7 +7,7 @@ QUERIES = "query_id string, text string"
 BINARY_QRELS = "query_id string, relevant_doc_ids array<string>"
 SPARSE = "doc_id string, splade_terms map<string,double>, content string"
 HIT = "struct<doc_id:string, score:double, content:string>"
-SYSTEMS = ("es_hybrid", "es_bm25", "hnsw_sparse", "faiss_dense", "postgres", "graph", "fused")
+SYSTEMS = ("es_hybrid", "es_bm25", "hnsw_sparse", "faiss_dense", "pg_sparse", "graph", "hybrid_fused")
 RESULTS = "query_id string, text string, " + ", ".join(f"{s} array<{HIT}>" for s in SYSTEMS) + ", rag string"
 BEIR_CORPUS = "_id string, title string, text string"
 BEIR_QUERIES = "_id string, text string"

@@ -10,27 +10,14 @@ from pyspark.sql import functions as F
 
 from rankloom import schemas
 
-#: Approximate corpus sizes of public data sets, and those used by default.
-DATASET_SIZES = {
-    "scifact": 5_183,
-    "nfcorpus": 3_633,
-    "fiqa": 57_638,
-    "trec-covid": 171_332,
-    "scidocs": 25_657,
-    "arguana": 8_674,
-    "quora": 522_931,
-    "climate-fever": 5_416_593,
-    "dbpedia-entity": 4_635_922,
-    "hotpotqa": 5_233_329,
-    "nq": 2_681_468,
-    "msmarco": 8_841_823,
-}
+#: The public data sets that a run takes by default.
 DEFAULT_SUBSET = ("scifact", "nfcorpus", "fiqa", "trec-covid")
 
 
 def _lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """The objects of a JSONL file with ``_line``, which follows the order in the file; blank lines are skipped."""
-    raw = spark.read.text(path).withColumn("_line", F.monotonically_increasing_id()).filter(F.trim("value") != "")
+    """The objects of JSONL files with ``_line``, which follows the files' names and the order in each; blank lines are skipped."""
+    place = F.struct(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id())
+    raw = spark.read.text(path).select("value", place.alias("_line")).filter(F.trim("value") != "")
     return raw.select("_line", F.from_json("value", schema).alias("_o")).select("_line", "_o.*")
 
 
@@ -76,10 +63,16 @@ def cap_corpus(docs: DataFrame, order: str, cap: int | None, judged: DataFrame)
 
 
 def read_qrels_tsv(spark: SparkSession, path: str) -> DataFrame:
-    """query_id, doc_id, grade: grades above 0; the header and lines of fewer than three fields are skipped."""
-    parts = spark.read.text(path).select(F.split(F.rtrim("value"), "\t").alias("p"), F.lower("value").startswith("query-id").alias("header"))
-    rows = parts.filter((F.size("p") >= 3) & ~F.col("header")).select(F.get("p", F.lit(0)).alias("query_id"), F.get("p", F.lit(1)).alias("doc_id"), F.get("p", F.lit(2)).try_cast("int").alias("grade"))
-    return rows.filter("grade > 0").groupBy("query_id", "doc_id").agg(F.max("grade").alias("grade"))
+    """query_id, doc_id, grade: of a pair's lines the last counts, if its grade is above 0.
+
+    The header and lines of fewer than three fields are skipped, as are grades
+    that are no number.
+    """
+    place = F.struct(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id()).alias("_line")
+    parts = spark.read.text(path).select(place, F.split(F.rtrim("value"), "\t").alias("p"), F.lower("value").startswith("query-id").alias("header"))
+    at = lambda i: F.get("p", F.lit(i))
+    rows = parts.filter((F.size("p") >= 3) & ~F.col("header")).select("_line", at(0).alias("query_id"), at(1).alias("doc_id"), at(2).try_cast("int").alias("grade"))
+    return rows.filter("grade > 0").groupBy("query_id", "doc_id").agg(F.max_by("grade", "_line").alias("grade"))
 
 
 def read_beir(spark: SparkSession, folder: str, split: str = "test", cap: int | None = None) -> dict[str, DataFrame]:
@@ -93,7 +86,7 @@ def read_beir(spark: SparkSession, folder: str, split: str = "test", cap: int |
     lines = _lines(spark, f"{folder}/corpus.jsonl", schemas.BEIR_CORPUS).withColumnRenamed("_id", "doc_id")
     docs = lines.groupBy("doc_id").agg(F.max(F.struct("_line", "title", "text")).alias("r"), F.min("_line").alias("first")).select("doc_id", "first", "r.title", "r.text")
     docs = cap_corpus(docs, "first", cap, judged).drop("first")
-    queries = _lines(spark, f"{folder}/queries.jsonl", schemas.BEIR_QUERIES).select(F.col("_id").alias("query_id"), "text").join(judged.select("query_id"), "query_id", "left_semi")
+    queries = _lines(spark, f"{folder}/queries.jsonl", schemas.BEIR_QUERIES).select(F.col("_id").alias("query_id"), "text", F.col("_line").alias("line")).join(judged.select("query_id"), "query_id", "left_semi")
     return {"docs": docs, "queries": queries, "qrels": judged}
 
 

@@ -10,7 +10,7 @@ from rankloom.sources.sinks import positive_terms, upsert
 
 
 def ingest(stream: DataFrame, path: str, checkpoint: str, key: str = "doc_id", version: str = "updated_at", once: bool = True) -> StreamingQuery:
-    """Upserts each batch of a stream of documents into the Parquet table at ``path``.
+    """Upserts each batch of a stream of documents into the table at ``path``; read it by :func:`rankloom.sources.sinks.read_upserted`.
 
     Within a batch the latest version counts; a batch may be repeated after a
     failure without changing the result. Versions older than what the table
@@ -18,15 +18,8 @@ def ingest(stream: DataFrame, path: str, checkpoint: str, key: str = "doc_id", v
     """
 
     def merge(batch: DataFrame, _: int) -> None:
-        spark = batch.sparkSession
         rows = positive_terms(batch) if "splade_terms" in batch.columns else batch
-        try:
-            held = spark.read.parquet(path).select(key, F.col(version).alias("_held"))
-            rows = rows.join(held, key, "left").filter(F.col("_held").isNull() | (F.col(version) >= F.col("_held"))).drop("_held")
-        except Exception as e:  # noqa: BLE001
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-        upsert(spark, path, rows, key, version)
+        upsert(batch.sparkSession, path, rows, key, version, newer_only=True)
 
     writer = stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()

@@ -3,16 +3,19 @@
 from __future__ import annotations
 
 import json
+from pathlib import Path
 
 import pytest
 
-from rankloom import jobs
+from rankloom import jobs, schemas
 from rankloom.functions.text import normal_id, render_document, strip, tokens
 from rankloom.operators.orphans import orphans
 from rankloom.operators.records import current_records, skew_safe_left_join
+from rankloom.plans.pipeline import HashedEncoder, LexicalEncoder
+from rankloom.session import drop_scratch, path_exists, written
 from rankloom.sources import files, sinks
 from rankloom.streaming.ingest import ingest, windowed_counts
-from rankloom.utils import Timer, get_logger, memory_mb
+from rankloom.utils import peak_memory_mb, stopwatch
 
 
 def write(path, *rows):
@@ -63,6 +66,14 @@ def test_orphans_in_time_and_on_hot_keys(spark):
         orphans(refs, targets, {"id": "id"}, "bogus")
 
 
+def test_a_null_time_has_a_mask_of_its_own(spark):
+    refs = spark.createDataFrame([("t", "h", 5), ("t", "h", None), ("t", "gone", None), ("t", "late", 1), ("t", None, 1)] + [("t", "h", 20)] * 50, "src string, id string, at int")
+    targets = spark.createDataFrame([("t", "h", 10, 30), ("t", "late", 2, None)], "src string, id string, s int, e int")
+    stamp = lambda df, *c: df.withColumns({x: df[x].cast("timestamp_ltz") for x in c})
+    got = orphans(stamp(refs, "at"), stamp(targets, "s", "e"), {"src": "src", "id": "id"}, "simple", ("at", "s", "e"))
+    assert sorted((r.id, r.at is None) for r in got.collect()) == [("gone", True), ("h", False), ("late", False)]
+
+
 def test_json_lines(spark, tmp_path):
     docs = write(tmp_path / "d.jsonl", {"doc_id": 7, "content": "seven"}, "", {"doc_id": "a", "content": None}, {"doc_id": "b"})
     assert [tuple(r) for r in files.read_documents(spark, docs, 2).collect()] == [("7", "seven"), ("a", None)]
@@ -106,22 +117,52 @@ def test_jobs(spark, tmp_path):
     assert jobs.main(["beir", "--folder", str(root.parent), "--datasets", "missing"], spark) == 1
     with pytest.raises(SystemExit):
         jobs.main(["beir", "--no-dense", "--no-sparse"], spark)
-    docs = write(tmp_path / "docs.jsonl", {"doc_id": "a", "content": "red apple"}, {"doc_id": "b", "content": "green pear"})
-    assert jobs.main(["index", "--documents", docs, "--out", str(tmp_path / "idx")], spark) == 0
-    assert jobs.main(["query", "--index", str(tmp_path / "idx"), "--query", "apple", "--no-rerank", "--out", str(tmp_path / "res")], spark) == 0
-    row = spark.read.json(str(tmp_path / "res")).first()
-    assert row["sparse"][0]["doc_id"] == "a"
-    results = write(tmp_path / "r.jsonl", {"query_id": "q", "text": "t", "es_bm25": [{"doc_id": "a", "score": 1.0, "content": ""}]})
-    qrels = write(tmp_path / "j.jsonl", {"query_id": "q", "relevant_doc_ids": ["a"]})
-    assert jobs.main(["evaluate", "--results", results, "--qrels", qrels], spark) == 0
+
+
+def test_index_query_evaluate_tune(spark, tmp_path, monkeypatch):
+    words = ["apple", "pear", "plum", "fig", "kiwi", "lime"]
+    docs = write(tmp_path / "docs.jsonl", *[{"doc_id": f"d{i}", "content": f"{w} {w} tree number {i}"} for i, w in enumerate(words)], {"doc_id": "none", "content": None})
+    idx, res, log = (str(tmp_path / n) for n in ("idx", "res", "log"))
+    assert jobs.main(["index", "--documents", docs, "--out", idx], spark) == 0
+    assert json.loads(spark.read.text(f"{idx}/stats").first().value)["doc_count"] == 7
+
+    def gone(*_):
+        raise AssertionError("documents are encoded once")
+
+    with monkeypatch.context() as m:
+        m.setattr(LexicalEncoder, "documents", gone)
+        m.setattr(HashedEncoder, "documents", gone)
+        queries = write(tmp_path / "q.jsonl", *[{"query_id": f"q{i}", "text": w} for i, w in enumerate(words)], {"query_id": "bare", "text": "?!"})
+        assert jobs.main(["query", "--index", idx, "--queries", queries, "--rag", "--out", res], spark) == 0
+    rows = {r.query_id: r for r in files.read_results(spark, res).collect()}
+    for system in schemas.SYSTEMS:
+        assert rows["q2"][system][0].doc_id == "d2" and rows["q2"][system][0].content.startswith("plum"), system
+    assert rows["q2"].rag.startswith("[NO LLM]") and "plum" in rows["q2"].rag
+    assert [h.doc_id for h in rows["bare"].es_hybrid][:2] == ["d0", "d1"] and not rows["bare"].es_bm25  # without a term all match alike
+    qrels = write(tmp_path / "j.jsonl", *[{"query_id": f"q{i}", "relevant_doc_ids": [f"d{i}"]} for i in range(6)])
+    assert jobs.main(["evaluate", "--results", res, "--qrels", qrels, "--log", log], spark) == 0
+    logged = {r.system: r for r in spark.read.option("header", True).csv(log).collect()}
+    assert set(logged) == set(schemas.SYSTEMS) and all(float(r.ndcg_at_10) == 1.0 for r in logged.values())
+
+    root, out = beir(tmp_path), tmp_path / "tuned.json"
+    (tmp_path / "c.yaml").write_text("top-k: 5\n")
+    assert jobs.main(["tune", "--folder", str(root), "--config", str(tmp_path / "c.yaml"), "--out", str(out)], spark) == 0
+    report = json.loads(out.read_text())
+    assert report["config"]["best"] in report["metrics"][0] and len(report["metrics"][0]) == 3 + 2 * 8
+    assert report["config"]["ndcg@10"] == max(v for k, v in report["metrics"][0].items() if k != "dataset")
+    assert jobs.main(["tune-blend", "--folder", str(root.parent), "--datasets", "tiny", "--out", str(out)], spark) == 0
+    assert "first_stage" in json.loads(out.read_text())["metrics"][0]
+    assert jobs.main(["benchmark", "--documents", docs, "--index", idx, "--samples", "1", "--out", str(out)], spark) == 0
+    assert {r["variant"] for r in json.loads(out.read_text())["metrics"]} == {"encode", "query"}
+    (tmp_path / "bad.yaml").write_text("bogus: 1\n")
+    with pytest.raises(SystemExit):
+        jobs.main(["tune", "--config", str(tmp_path / "bad.yaml")], spark)
 
 
 def test_sinks(spark, tmp_path):
     path = str(tmp_path / "t")
     rows = lambda *r: spark.createDataFrame(r, "doc_id string, v int, c string")
-    sinks.upsert(spark, path, rows(("a", 1, "x"), ("a", 1, "x"), (None, 1, "n")), "doc_id", "v")
-    sinks.upsert(spark, path, rows(("a", 3, "y"), ("a", 2, "z"), ("b", 1, "w")), "doc_id", "v")
-    assert sorted(map(tuple, spark.read.parquet(path).collect())) == [("a", 3, "y"), ("b", 1, "w")]
+    sinks.create_table(rows(("a", 3, "y"), ("b", 1, "w")), path)
     assert sinks.index_stats(spark, path)["doc_count"] == 2 and sinks.path_size_mb(spark, path) > 0
     sinks.create_table(rows(("z", 1, "")), path, replace=False)
     assert spark.read.parquet(path).count() == 2
@@ -136,19 +177,78 @@ def test_sinks(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "s")).columns == ["doc_id", "splade_terms"]
 
 
+@pytest.mark.parametrize("step", ["merged", "_publish", "_sweep"])
+def test_upsert_survives_a_crash_at_any_step(spark, tmp_path, monkeypatch, step):
+    path = str(tmp_path / "t")
+    rows = lambda *r: spark.createDataFrame(r, "doc_id string, v int, c string")
+    held = lambda: sorted(map(tuple, sinks.read_upserted(spark, path).collect()))
+    assert sinks.read_upserted(spark, path) is None
+    sinks.upsert(spark, path, rows(("a", 1, "x"), ("a", 1, "x"), (None, 1, "n"), ("b", 1, "w")), "doc_id", "v", 4)
+    assert held() == [("a", 1, "x"), ("b", 1, "w")]
+
+    def crash(*_, **__):
+        raise OSError("lost")
+
+    with monkeypatch.context() as m:
+        m.setattr(sinks, step, crash)
+        with pytest.raises(OSError):
+            sinks.upsert(spark, path, rows(("a", 2, "y"), ("c", 1, "c")), "doc_id", "v")
+    assert held() == [("a", 1, "x"), ("b", 1, "w")]
+    sinks.upsert(spark, path, rows(("c", 1, "c")), "doc_id", "v")
+    sinks.upsert(spark, path, rows(("d", 1, "d"), ("a", 5, "m"), ("a", 5, "z"), ("a", 5, "k")), "doc_id", "v")
+    assert held() == [("a", 5, "z"), ("b", 1, "w"), ("c", 1, "c"), ("d", 1, "d")]  # of equal versions the greatest row
+    sinks.upsert(spark, path, rows(("a", 4, "late")), "doc_id", "v", newer_only=True)
+    sinks.upsert(spark, path, rows().limit(0), "doc_id", "v")
+    assert ("a", 5, "z") in held() and len(list((tmp_path / "t").glob("rows-*"))) <= 8
+
+
+def test_only_touched_buckets_are_rewritten(spark, tmp_path):
+    path = str(tmp_path / "t")
+    sinks.upsert(spark, path, spark.range(200).selectExpr("cast(id as string) k", "1 v"), "k", "v", 8)
+    before = sinks._manifest(spark, path)[1]["buckets"]
+    sinks.upsert(spark, path, spark.createDataFrame([("7", 2)], "k string, v int"), "k", "v")
+    after = sinks._manifest(spark, path)[1]["buckets"]
+    assert sum(before[b] != after[b] for b in before) == 1 and sinks.read_upserted(spark, path).count() == 200
+
+
 def test_stream(spark, tmp_path):
     schema = "doc_id string, updated_at timestamp, c string"
     for i, r in enumerate([("a", "2024-01-02 00:00:00", "new"), ("a", "2024-01-01 00:00:00", "late"), ("b", "2024-01-01 00:00:00", "b")]):
         spark.createDataFrame([r], "doc_id string, updated_at string, c string").selectExpr("doc_id", "cast(updated_at as timestamp) updated_at", "c").write.mode("append").parquet(str(tmp_path / "in"))
         ingest(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination(120)
-        assert i == 0 or spark.read.parquet(str(tmp_path / "out")).filter("doc_id = 'a'").first().c == "new"
-    assert spark.read.parquet(str(tmp_path / "out")).count() == 2
+        assert i == 0 or sinks.read_upserted(spark, str(tmp_path / "out")).filter("doc_id = 'a'").first().c == "new"
+    assert sinks.read_upserted(spark, str(tmp_path / "out")).count() == 2
     counted = windowed_counts(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), "updated_at", "doc_id")
     assert counted.isStreaming
 
 
-def test_utils():
-    with Timer("x") as t:
-        t.lap()
-    assert t.elapsed >= 0 and t.elapsed_ms >= t.elapsed and "x" in repr(t) and memory_mb() > 0
-    assert len(get_logger("rankloom.test").handlers) == len(get_logger("rankloom.test").handlers) == 1
+def test_utils(spark, tmp_path):
+    took = {}
+    for _ in range(2):
+        with stopwatch(took, "x") as so_far:
+            assert so_far() >= 0
+    assert took["x"] >= 0 and peak_memory_mb() > 0
+    table = written(spark.range(3), "t")
+    path = table.inputFiles()[0].rsplit("/", 1)[0]
+    assert path_exists(spark, path)
+    drop_scratch(spark)
+    assert not path_exists(spark, path)
+
+
+def test_only_the_subpackage_itself_may_be_missing(monkeypatch):
+    import importlib
+    import sys
+
+    import __spark_entry__ as entry
+
+    for lost, fine in (("rankloom.llm.catalog", True), ("regex", False)):
+        with monkeypatch.context() as m:
+            m.setitem(sys.modules, lost, None)
+            for name in [n for n in sys.modules if n.startswith("rankloom.llm") and n != lost]:
+                m.delitem(sys.modules, name)
+            if fine:
+                assert not any(n.startswith("p1_") for n in importlib.reload(entry).queries())
+            elif (Path(__file__).parents[1] / "rankloom" / "llm").exists():
+                with pytest.raises(ModuleNotFoundError):
+                    importlib.reload(entry)
+    importlib.reload(entry)
