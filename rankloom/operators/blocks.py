@@ -242,11 +242,12 @@ class Bm25:
         return self.idf[term] * tf / (tf + self.k1 * ((1 - self.b) + self.b * length / self.average))
 
 
-def top_k_blocks(blocks: DataFrame, terms: DataFrame, k: int, digits: int, bm25: Bm25 | None = None, size: int | None = None) -> DataFrame:
+def top_k_blocks(blocks: DataFrame, terms: DataFrame, k: int, digits: int, bm25: Bm25 | None = None, least: bool = False, size: int | None = None) -> DataFrame:
     """query_id, doc_id, score: hits of ``terms`` (query_id, term, weight above 0), among them the ``k`` best of each query, exactly.
 
-    The score of a document is the sum of weight products over common terms,
-    plus the greatest product with ``p`` where the blocks have it. With
+    The score of a document is the sum of weight products over common terms
+    (with ``least`` of the smaller weights), plus the greatest product with
+    ``p`` where the blocks have it. With
     ``bm25`` the stored counts become weights by it. Rounded scores decide, of
     equal ones the smaller ids. Documents without a common term are in no row.
     """
@@ -258,14 +259,14 @@ def top_k_blocks(blocks: DataFrame, terms: DataFrame, k: int, digits: int, bm25:
         batch = Batch.read(rows)
         if bm25:
             bm25.measure(blocks, batch.vocabulary)
-        shared = spark.sparkContext.broadcast((batch, bm25))
+        shared = spark.sparkContext.broadcast((batch, bm25, least))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            asked, weigh = shared.value
+            asked, weigh, smaller = shared.value
             floors = Floors(len(asked.ids), k, 0.0)
             for rows in batches:
                 for row in zip(*rows.columns, strict=True):
-                    found = list(_search(row, asked, weigh, floors, k, digits))
+                    found = list(_search(row, asked, weigh, smaller, floors, k, digits))
                     if found:
                         yield hit_rows(found, asked.ids)
 
@@ -274,7 +275,7 @@ def top_k_blocks(blocks: DataFrame, terms: DataFrame, k: int, digits: int, bm25:
     return per_batch(written(asked, "asked"), hits, size=size)
 
 
-def _search(row: tuple, asked: Batch, weigh: Bm25 | None, floors: Floors, k: int, digits: int) -> Iterator[tuple[int, list[str], np.ndarray]]:
+def _search(row: tuple, asked: Batch, weigh: Bm25 | None, smaller: bool, floors: Floors, k: int, digits: int) -> Iterator[tuple[int, list[str], np.ndarray]]:
     """query, ids, scores of one block's documents that may be among the ``k`` best of a query."""
     t, n, d = np.frombuffer(row[1].as_py(), np.int64), np.frombuffer(row[2].as_py(), np.int32), np.frombuffer(row[3].as_py(), np.int32)
     w, p, length = (np.frombuffer(c.as_py()) for c in row[4:7])
@@ -303,7 +304,7 @@ def _search(row: tuple, asked: Batch, weigh: Bm25 | None, floors: Floors, k: int
             a, b = lo[term[i]], hi[term[i]]
             if a < b:
                 docs = d[a:b]
-                score[docs] += w[a:b] * weight[i]
+                score[docs] += np.minimum(w[a:b], weight[i]) if smaller else w[a:b] * weight[i]
                 if top is not None:
                     top[docs] = np.maximum(top[docs], p[a:b] * weight[i])
         full = score if top is None else score + top

@@ -9,7 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from rankloom.operators.sparse import DIGITS, rank_hits, ranked_sql
+from rankloom.operators.blocks import posting_blocks, store_blocks, top_k_blocks
+from rankloom.operators.sparse import _DOT, DIGITS, rank_hits, ranked_sql, top_k_dot
 from rankloom.plans import datasets as D
 from rankloom.session import written
 
@@ -28,13 +29,13 @@ def neighbours(graph: DataFrame, n: int = 50, asked: Column | None = None) -> Da
     """src, dst, weight: the ``n`` documents that share most with each source, by the sum of the smaller weights; ties by dst.
 
     ``asked`` selects the sources (a stated query set); all documents are
-    compared with them. Pairs are made by an equi-join on terms and summed with
-    a map-side part; a source's list is cut before and after the last shuffle.
+    compared with them, in blocks and where they are: no row is made of a pair
+    that can't be chosen, and a term in most documents costs no shuffle.
     """
-    left = (graph if asked is None else graph.filter(asked)).select(F.col("doc_id").alias("src"), "term", F.col("weight").alias("a"))
-    right = graph.select(F.col("doc_id").alias("dst"), "term", F.col("weight").alias("b"))
-    shared = left.join(right, "term").filter("src <> dst").groupBy("src", "dst").agg(F.round(F.sum(F.least("a", "b")), DIGITS).alias("weight"))
+    sources = (graph if asked is None else graph.filter(asked)).select(F.col("doc_id").alias("query_id"), "term", "weight")
+    hits = top_k_blocks(store_blocks(posting_blocks(graph)), sources, n + 1, DIGITS, least=True)  # itself among them
     order = Window.partitionBy("src").orderBy(F.col("weight").desc(), F.col("dst"))
+    shared = hits.select(F.col("query_id").alias("src"), F.col("doc_id").alias("dst"), F.round("score", DIGITS).alias("weight")).filter("src <> dst")
     return shared.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= n).drop("_r")
 
 
@@ -188,44 +189,42 @@ def doc_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def graph_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two-hop scores over the whole graph: 50 neighbours of every document."""
     graph = _graph(spark, sf_dir)
     terms = D.query_tokens(D.judged_queries(spark, sf_dir, D.binary(spark, sf_dir)))
-    return hop_scores(graph, doc_edges(graph, 5, _asked()), terms, k=20)
+    return hop_scores(graph, doc_edges(graph), terms, k=20)
 
 
 def graph_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes and edges of the whole graph: 50 neighbours of every document."""
     postings = written(D.sparse_postings(spark, sf_dir), "postings")
-    graph = edges(postings)
-    return stats(postings, graph, doc_edges(graph, 5, _asked()))
-
-
-def graph_score_full(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``graph_score`` over the whole graph: 50 neighbours of every document."""
-    graph = _graph(spark, sf_dir)
-    terms = D.query_tokens(D.judged_queries(spark, sf_dir, D.binary(spark, sf_dir)))
-    return hop_scores(graph, doc_edges(graph), terms, k=20)
+    graph = written(edges(postings), "graph")
+    return stats(postings, graph, doc_edges(graph))
 
 
-def graph_stats_full(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``graph_stats`` of the whole graph: 50 neighbours of every document."""
-    postings = written(D.sparse_postings(spark, sf_dir), "postings")
-    graph = edges(postings)
-    return stats(postings, graph, doc_edges(graph))
+def graph_allowed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two-hop scores of the documents that another search found: the ten best of each query by sparse dot product."""
+    graph, terms = _graph(spark, sf_dir), D.query_tokens(D.judged_queries(spark, sf_dir, D.binary(spark, sf_dir)))
+    allowed = top_k_dot(D.sparse_postings(spark, sf_dir), terms, 10).select("query_id", "doc_id")
+    return hop_scores(graph, doc_edges(graph), terms, allowed=allowed, k=None)
 
 
-QUERIES = {"graph_edges": graph_edges, "doc_similarity": doc_similarity, "graph_score": graph_score, "graph_stats": graph_stats, "graph_score_full": graph_score_full, "graph_stats_full": graph_stats_full}
+QUERIES = {"graph_edges": graph_edges, "doc_similarity": doc_similarity, "graph_score": graph_score, "graph_stats": graph_stats, "graph_allowed": graph_allowed}
 
 _E = D.with_("post") + ", ed AS (SELECT * FROM post WHERE weight >= 0.5)"
 _N = """, nb AS (SELECT src, dst, weight FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY weight DESC, dst) AS r FROM (
   SELECT a.doc_id AS src, b.doc_id AS dst, round(sum(least(a.weight, b.weight)), 6) AS weight FROM ed a JOIN ed b ON a.term = b.term AND a.doc_id <> b.doc_id
-  WHERE TRY_CAST(regexp_extract(a.doc_id, '(\\d+)$', 1) AS BIGINT) % 100 = 0 GROUP BY 1, 2)) WHERE r <= {n}),
+  WHERE {w} GROUP BY 1, 2)) WHERE r <= {n}),
   ln AS (SELECT DISTINCT * FROM (SELECT * FROM nb UNION ALL SELECT dst, src, weight FROM nb))"""
+_ASKED, _ALL = "TRY_CAST(regexp_extract(a.doc_id, '(\\d+)$', 1) AS BIGINT) % 100 = 0", "true"
 _H = """, h1 AS (SELECT query_id, doc_id, sum(q.weight * e.weight) AS score FROM ed e JOIN bqt q USING (term) GROUP BY 1, 2),
   hh AS (SELECT query_id, doc_id, sum(score) AS score FROM (SELECT * FROM h1 UNION ALL SELECT query_id, dst, 0.5::DOUBLE * score * weight FROM h1 JOIN ln ON src = doc_id) GROUP BY 1, 2) """
 SQL = {
     "graph_edges": _E + " SELECT * FROM ed",
-    "doc_similarity": _E + _N.format(n=20) + " SELECT * FROM nb",
-    "graph_score": D.with_("judged_binary", "all_q", "bq", "bqt", "post") + ", ed AS (SELECT * FROM post WHERE weight >= 0.5)" + _N.format(n=5) + _H + ranked_sql("SELECT * FROM hh", 20, GRAPH_DIGITS),
-    "graph_stats": _E + _N.format(n=5) + """ SELECT (SELECT count(DISTINCT doc_id) FROM post) + (SELECT count(DISTINCT term) FROM ed) AS bipartite_nodes, (SELECT count(*) FROM ed) AS bipartite_edges,
+    "doc_similarity": _E + _N.format(n=20, w=_ASKED) + " SELECT * FROM nb",
+    "graph_score": D.with_("judged_binary", "all_q", "bq", "bqt", "post") + ", ed AS (SELECT * FROM post WHERE weight >= 0.5)" + _N.format(n=50, w=_ALL) + _H + ranked_sql("SELECT * FROM hh", 20, GRAPH_DIGITS),
+    "graph_allowed": D.with_("judged_binary", "all_q", "bq", "bqt", "post") + ", ed AS (SELECT * FROM post WHERE weight >= 0.5)" + _N.format(n=50, w=_ALL) + _H
+    + f", al AS ({ranked_sql(_DOT.format(p='post', q='bqt'), 10)}) " + ranked_sql("SELECT hh.* FROM hh JOIN al USING (query_id, doc_id)", 10, GRAPH_DIGITS),
+    "graph_stats": _E + _N.format(n=50, w=_ALL) + """ SELECT (SELECT count(DISTINCT doc_id) FROM post) + (SELECT count(DISTINCT term) FROM ed) AS bipartite_nodes, (SELECT count(*) FROM ed) AS bipartite_edges,
       (SELECT count(DISTINCT doc_id) FROM post) AS doc_nodes, (SELECT count(*) FROM (SELECT DISTINCT least(src, dst), greatest(src, dst) FROM ln)) AS doc_edges""",
 }
