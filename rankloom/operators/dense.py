@@ -19,6 +19,8 @@ DIGITS = 5
 DOC_BLOCK, QUERY_BLOCK = 8_192, 1_024
 #: Vectors that cells and codebooks are fitted on, at most.
 FIT_SAMPLE = 20_000
+#: Cells, at most, where their number follows the documents.
+MAX_CELLS = 1_024
 
 
 def matrix(column: pa.Array, dim: int | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -133,7 +135,7 @@ def best_columns(s: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 class CellIndex:
-    """Inverted cells: centroids (at most ``n_cells``), each document with its cell, and each cell's radius.
+    """Inverted cells: centroids (at most ``n_cells``, by default the root of the documents), each document with its cell, and each cell's radius.
 
     By the radius r of a cell with centroid c no document in it has an inner
     product with q above q c + |q| r. Cells are probed in the order of that
@@ -141,7 +143,8 @@ class CellIndex:
     found, so that large vectors in far cells are met, and nothing is missed.
     """
 
-    def __init__(self, docs: DataFrame, key: str, vector: str, dim: int, n_cells: int = 100):
+    def __init__(self, docs: DataFrame, key: str, vector: str, dim: int, n_cells: int | None = None):
+        n_cells = n_cells or min(MAX_CELLS, max(16, int(docs.count() ** 0.5)))
         sample = fit_sample(docs, vector, dim)
         self.dim, self.centers = dim, kmeans(sample, n_cells) if len(sample) else np.zeros((1, dim), np.float32)
         self.cells = written(self._gathered(docs, key, vector), "cells")
@@ -254,7 +257,7 @@ class ProductIndex(CellIndex):
     bound reaches the k-th lower bound are scored by their vectors.
     """
 
-    def __init__(self, docs: DataFrame, key: str, vector: str, dim: int, n_cells: int = 100, parts: int = 48, codes: int = 256):
+    def __init__(self, docs: DataFrame, key: str, vector: str, dim: int, n_cells: int | None = None, parts: int = 48, codes: int = 256):
         super().__init__(docs, key, vector, dim, n_cells)
         parts = max(p for p in range(1, min(parts, dim) + 1) if dim % p == 0)
         sample = fit_sample(docs, vector, dim)
@@ -345,7 +348,7 @@ def block_hits(d: pa.Scalar, dx: pa.Scalar, q: pa.Scalar, qx: pa.Scalar, dim: in
 INDEX_TYPES = ("Flat", "IVFFlat", "IVFPQ")
 
 
-def build_index(index_type: str, docs: DataFrame, key: str, vector: str, dim: int, n_cells: int = 100):
+def build_index(index_type: str, docs: DataFrame, key: str, vector: str, dim: int, n_cells: int | None = None):
     """A cell or product index by type name; Flat needs none."""
     if index_type not in INDEX_TYPES:
         raise ValueError(f"Unknown index type: {index_type}")
@@ -387,10 +390,24 @@ def pq_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ProductIndex(vectors, "vec_id", "embedding", DIM).search(asking(vectors), "vec_id", "embedding", 10)
 
 
-QUERIES = {"dense_exact_topk": dense_exact_topk, "flat_cosine_topk": flat_cosine_topk, "ivf_topk": ivf_topk, "pq_topk": pq_topk}
+def ann_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """index_type, n_queries, enough: whether each index finds at least 0.9 of what the exact search finds."""
+    vectors, out = written(passages(spark, sf_dir), "passages"), None
+    exact = written(exact_topk(vectors, asking(vectors), 10, "vec_id", "vec_id", "embedding", DIM), "exact").select("query_id", "doc_id")
+    for kind in INDEX_TYPES[1:]:
+        found = build_index(kind, vectors, "vec_id", "embedding", DIM).search(asking(vectors), "vec_id", "embedding", 10).select("query_id", "doc_id", F.lit(1).alias("hit"))
+        row = exact.join(found, ["query_id", "doc_id"], "left").agg(F.count_distinct("query_id").alias("n_queries"), (F.count("hit") >= 0.9 * F.count(F.lit(1))).alias("enough"))
+        row = row.select(F.lit(kind).alias("index_type"), "n_queries", "enough")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+QUERIES = {"ann_recall": ann_recall, "dense_exact_topk": dense_exact_topk, "flat_cosine_topk": flat_cosine_topk, "ivf_topk": ivf_topk, "pq_topk": pq_topk}
 
 _PAIR = "SELECT CAST(q.vec_id AS VARCHAR) AS query_id, CAST(d.vec_id AS VARCHAR) AS doc_id, {f}(q.e, d.e) AS score FROM v d JOIN v q ON q.vec_id % 100 = 0"
+_LIVE = "len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0"
 SQL = {
+    "ann_recall": f"SELECT unnest(['IVFFlat', 'IVFPQ']) AS index_type, (SELECT count(DISTINCT vec_id) FROM dense_vectors WHERE vec_id % 100 = 0 AND {_LIVE}) AS n_queries, true AS enough",
     "dense_exact_topk": "WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), r AS (" + _PAIR.format(f="list_dot_product") + f") SELECT * FROM (SELECT query_id, doc_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM (SELECT query_id, doc_id, round(score, {DIGITS}) AS score FROM r)) WHERE rank <= 10",
     "flat_cosine_topk": "WITH v AS (SELECT DISTINCT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM dense_vectors WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND list_aggregate(list_transform(embedding, lambda x: abs(x)), 'max') > 0), r AS ("
     + _PAIR.format(f="list_cosine_similarity") + f") SELECT * FROM (SELECT query_id, doc_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM (SELECT query_id, doc_id, round(score, {DIGITS}) AS score FROM r)) WHERE rank <= 10",

@@ -194,6 +194,32 @@ def run_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate_run(*_bm25_run(spark, sf_dir))
 
 
+def results_to_run(lists: DataFrame) -> DataFrame:
+    """query_id, doc_id, score of ranked lists (query_id, pos, doc_id, score): of a document's several hits the last counts."""
+    return lists.groupBy("query_id", "doc_id").agg(F.max_by("score", "pos").alias("score"))
+
+
+def listed_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The es_hybrid lists of query_results as a run, against the binary judgments: all measures, missing queries as 0."""
+    lists = fusion.query_lists(spark, sf_dir).filter("list = 0").withColumn("doc_id", F.lower("doc_id"))
+    return evaluate_run(results_to_run(lists), D.binary(spark, sf_dir), (5, 10, 20))
+
+
+def missing_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """es_hits as a run: most judged queries are missing in it, and count as 0."""
+    return evaluate_run(table(spark, sf_dir, "es_hits").withColumn("doc_id", F.lower("doc_id")), D.binary(spark, sf_dir), (10, 100))
+
+
+def reciprocal_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    run, judgments = _bm25_run(spark, sf_dir)
+    return _rounded(per_query(run_ranks(run), judgments, (10,)), ["mrr"]).drop("k")
+
+
+def map_precision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    run, judgments = _bm25_run(spark, sf_dir)
+    return _rounded(per_query(run_ranks(run), judgments, CUTOFFS), ["map", "precision"])
+
+
 def missing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return missing_judged(D.graded(spark, sf_dir), D.corpus(spark, sf_dir))
 
@@ -235,6 +261,10 @@ QUERIES = {
     "ndcg_linear": ndcg_linear,
     "ndcg_exp": ndcg_exp,
     "evaluate_run": run_metrics,
+    "evaluate_run_missing": missing_run,
+    "results_to_run": listed_run,
+    "mrr": reciprocal_rank,
+    "map_precision": map_precision,
     "best_setting": best_blend,
     "compare_systems": systems,
     "latency_stats": latency,
@@ -258,6 +288,9 @@ _ES = "SELECT query_id, lower(doc_id) AS doc_id, max(score + 0.0) AS score FROM
 _SYSTEM = """SELECT '{n}' AS system, 10 AS k, round(avg(ndcg), 6) AS ndcg, round(avg(recall), 6) AS recall, round(avg(mrr), 6) AS mrr, count(*) AS n_queries FROM (
   WITH own AS (SELECT query_id, doc_id, min(rank) AS rank FROM ({r}) GROUP BY 1, 2), jd AS (SELECT * FROM judged_binary WHERE query_id IN (SELECT query_id FROM own)), {m} SELECT * FROM pq)"""
 _FUSED = fusion.fused_sql("SELECT *, (CASE list WHEN 2 THEN 0.2::DOUBLE ELSE 0.4::DOUBLE END) / (60 + pos) AS part FROM hits", "query_id", 10**6)
+_LONG = (
+    " SELECT metric, k, round(round(value, 10), 5) AS value FROM (UNPIVOT (SELECT k, avg(ndcg) AS ndcg, avg(recall) AS recall, avg(map) AS map, avg(precision) AS precision, avg(mrr) AS mrr FROM pq GROUP BY 1) ON ndcg, recall, map, precision, mrr INTO NAME metric VALUE value)"
+)
 SQL = {
     "judged_queries": D.with_("graded", "all_q", "gq") + "SELECT * FROM gq",
     "missing_judged_docs": D.with_("docs", "graded") + "SELECT query_id, doc_id FROM graded WHERE doc_id NOT IN (SELECT doc_id FROM docs)",
@@ -265,7 +298,12 @@ SQL = {
     "ndcg_linear": _BM25 + ", " + _RUN.format(t="SELECT * FROM hits") + ", " + metrics_sql("rr", "graded", (3, 10)) + " SELECT query_id, k, round(ndcg, 6) AS ndcg, round(map, 6) AS map, round(precision, 6) AS precision FROM pq",
     "ndcg_exp": _BM25 + ", " + metrics_sql("hits", "graded", (5, 10, 20), True) + " SELECT query_id, k, round(ndcg, 6) AS ndcg FROM pq",
     "evaluate_run": _BM25 + ", " + _RUN.format(t="SELECT * FROM hits") + ", " + metrics_sql("rr", "graded", CUTOFFS)
-    + " SELECT metric, k, round(round(value, 10), 5) AS value FROM (UNPIVOT (SELECT k, avg(ndcg) AS ndcg, avg(recall) AS recall, avg(map) AS map, avg(precision) AS precision, avg(mrr) AS mrr FROM pq GROUP BY 1) ON ndcg, recall, map, precision, mrr INTO NAME metric VALUE value)",
+    + _LONG,
+    "evaluate_run_missing": D.with_("judged_binary") + ", " + _RUN.format(t=_ES) + ", " + metrics_sql("rr", "judged_binary", (10, 100)) + _LONG,
+    "results_to_run": fusion.HITS_CTE + ", " + D.CTE["judged_binary"] + ", "
+    + _RUN.format(t="SELECT query_id, lower(doc_id) AS doc_id, arg_max(score, pos) AS score FROM hits WHERE list = 0 GROUP BY 1, 2") + ", " + metrics_sql("rr", "judged_binary", (5, 10, 20)) + _LONG,
+    "mrr": _BM25 + ", " + _RUN.format(t="SELECT * FROM hits") + ", " + metrics_sql("rr", "graded", (10,)) + " SELECT query_id, round(mrr, 6) AS mrr FROM pq",
+    "map_precision": _BM25 + ", " + _RUN.format(t="SELECT * FROM hits") + ", " + metrics_sql("rr", "graded", CUTOFFS) + " SELECT query_id, k, round(map, 6) AS map, round(precision, 6) AS precision FROM pq",
     "best_setting": rerank.STAGE
     + f""", b AS (SELECT weight, query_id, doc_id, rank AS first, round(weight / (60 + rr) + (1 - weight) / (60 + rank), 9) AS score
       FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC, rank) AS rr FROM cov) CROSS JOIN {rerank._BW}),

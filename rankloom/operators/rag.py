@@ -81,12 +81,12 @@ def shortlist(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 
 def rag_context(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return build_context(shortlist(spark, sf_dir)[0], 256)
+    return build_context(shortlist(spark, sf_dir)[0])
 
 
 def rag_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits, queries = shortlist(spark, sf_dir)
-    return answers(prompts(build_context(hits, 256), queries))
+    return answers(prompts(build_context(hits), queries))
 
 
 QUERIES = {"rag_context": rag_context, "rag_prompt": rag_prompt}
@@ -95,8 +95,8 @@ _S = (
     D.with_("docs", "graded", "all_q", "gq", "gqt", "tf", "bm") + ", hits AS (" + sparse.ranked_sql(sparse._DOT.format(p="bm", q="gqt"), 5) + ")"
     + """, pl AS (SELECT query_id, rank, content AS t, coalesce(sum(length(content)) OVER (PARTITION BY query_id ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b,
       row_number() OVER (PARTITION BY query_id ORDER BY rank) AS i FROM hits JOIN docs USING (doc_id)),
-    cx AS (SELECT query_id, string_agg('[Document ' || i || ']  ' || substring(t, 1, CAST(1024 - b AS BIGINT)), chr(10) || chr(10) ORDER BY i) AS context, CAST(count(*) AS INTEGER) AS n_docs
-      FROM pl WHERE b < 1024 OR i = 1 GROUP BY 1)"""
+    cx AS (SELECT query_id, string_agg('[Document ' || i || ']  ' || substring(t, 1, CAST(8192 - b AS BIGINT)), chr(10) || chr(10) ORDER BY i) AS context, CAST(count(*) AS INTEGER) AS n_docs
+      FROM pl WHERE b < 8192 OR i = 1 GROUP BY 1)"""
 )
 _Q = [x.replace("'", "''") for x in PROMPT.split("%s")]
 SQL = {

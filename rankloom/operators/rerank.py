@@ -13,6 +13,8 @@ from rankloom.plans import datasets as D
 from rankloom.session import written
 
 DIGITS = 9
+#: Candidates that are reranked.
+DEPTH = 100
 
 
 def coverage_scores(hits: DataFrame, queries: DataFrame, docs: DataFrame) -> DataFrame:
@@ -21,10 +23,11 @@ def coverage_scores(hits: DataFrame, queries: DataFrame, docs: DataFrame) -> Dat
     A deterministic scorer that stands in for a neural cross-encoder; content
     is joined to the shortlist only.
     """
-    pairs = hits.select("query_id", "doc_id").join(queries, "query_id").join(docs.select("doc_id", "content"), "doc_id", "left")
-    q = F.array_distinct(tokens(F.coalesce("text", F.lit(""))))
-    both = F.size(F.array_intersect(q, tokens(F.coalesce("content", F.lit("")))))
-    return pairs.select("query_id", "doc_id", F.coalesce(both / F.nullif(F.size(q), F.lit(0)), F.lit(0.0)).alias("rerank_score"))
+    words = lambda c: F.array_distinct(tokens(F.coalesce(c, F.lit(""))))  # noqa: E731 - found once for a text, not for each pair
+    asked, known = queries.select("query_id", words("text").alias("q")), docs.select("doc_id", words("content").alias("d"))
+    pairs = hits.select("query_id", "doc_id").join(asked, "query_id").join(known, "doc_id", "left")
+    both = F.size(F.array_intersect("q", F.coalesce("d", F.array().cast("array<string>"))))
+    return pairs.select("query_id", "doc_id", F.coalesce(both / F.nullif(F.size("q"), F.lit(0)), F.lit(0.0)).alias("rerank_score"))
 
 
 def model_scores(hits: DataFrame, queries: DataFrame, docs: DataFrame, score_pairs) -> DataFrame:
@@ -88,7 +91,7 @@ BLEND_WEIGHTS = (0.0, 0.2, 0.3, 0.5, 0.7, 0.85, 1.0)
 def first_stage(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """BM25 hits of the judged queries, and coverage scores of them."""
     docs, queries = D.corpus(spark, sf_dir), D.judged_queries(spark, sf_dir, D.graded(spark, sf_dir))
-    hits = written(sparse.bm25_topk_of(docs, D.query_tokens(queries), 10), "hits")
+    hits = written(sparse.bm25_topk_of(docs, D.query_tokens(queries), DEPTH), "hits")
     return hits, coverage_scores(hits, queries, docs)
 
 
@@ -109,7 +112,7 @@ QUERIES = {"rerank_blend": blended, "rerank_tail": tail, "blend_sweep": sweep}
 _TOK = D._tokens
 STAGE = (
     D.with_("docs", "graded", "all_q", "gq", "gqt", "tf", "bm")
-    + ", hits AS (" + sparse.ranked_sql(sparse._DOT.format(p="bm", q="gqt"), 10) + ")"
+    + ", hits AS (" + sparse.ranked_sql(sparse._DOT.format(p="bm", q="gqt"), DEPTH) + ")"
     + f""", cov AS (SELECT query_id, doc_id, h.score AS retrieval_score, h.rank, len(list_intersect(list_distinct({_TOK("coalesce(text, '')")}), {_TOK("content")})) / len(list_distinct({_TOK("text")}))::DOUBLE AS rerank_score
       FROM hits h JOIN gq USING (query_id) JOIN docs USING (doc_id))"""
 )

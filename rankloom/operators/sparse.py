@@ -133,12 +133,12 @@ def hybrid_postings(bm25: DataFrame, dismax: DataFrame, alpha: float = 0.4, beta
     return parts.groupBy("doc_id", "term").agg(F.sum("w").alias("weight"), F.max("p").alias("peak"))
 
 
-def match_all(docs: DataFrame, queries: DataFrame, terms: DataFrame, k: int) -> DataFrame:
-    """Queries without a positive term match everything alike: the first ``k`` documents by id, score 1."""
-    bare = queries.select("query_id").join(terms.filter("weight > 0"), "query_id", "left_anti")
-    first = docs.select("doc_id").orderBy("doc_id").limit(k)  # ids are unique
+def match_all(docs: DataFrame, queries: DataFrame, terms: DataFrame, k: int, score: float = 1.0) -> DataFrame:
+    """Queries without a positive term match every document alike: the first ``k`` by id (ids are unique), with a constant score."""
+    bare = queries.select("query_id").distinct().join(terms.filter("weight > 0"), "query_id", "left_anti")
+    first = docs.select("doc_id").orderBy("doc_id").limit(k)
     order = Window.partitionBy("query_id").orderBy("doc_id")
-    return bare.crossJoin(F.broadcast(first)).select("query_id", "doc_id", F.lit(1.0).alias("score")).withColumn("rank", F.row_number().over(order))
+    return bare.crossJoin(F.broadcast(first)).select("query_id", "doc_id", F.lit(score).alias("score")).withColumn("rank", F.row_number().over(order))
 
 
 def hybrid_scores(bm25: DataFrame, dismax: DataFrame, alpha: float = 0.4, beta: float = 0.6) -> DataFrame:
@@ -174,7 +174,7 @@ def vocabulary_postings(postings: DataFrame, vocabulary: DataFrame, dim: int) ->
 
 
 def p_corpus_render(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return D.corpus(spark, sf_dir).select("doc_id", F.length("content").alias("n_chars"), F.substring("content", 1, 200).alias("snippet"))
+    return D.corpus(spark, sf_dir).select("doc_id", "content", F.length("content").alias("n_chars"), F.substring("content", 1, 200).alias("snippet"))
 
 
 def token_terms(queries: DataFrame) -> DataFrame:
@@ -211,15 +211,19 @@ def pg_overlap_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dismax_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Queries without a term match all documents."""
     postings, terms = _sparse(spark, sf_dir)
-    return top_k_dot(dismax_postings(saturation(postings)), terms, 10)
+    queries = D.judged_queries(spark, sf_dir, D.binary(spark, sf_dir))
+    return top_k_dot(dismax_postings(saturation(postings)), terms, 10).unionByName(match_all(D.store_ids(spark, sf_dir), queries, terms, 10))
 
 
 def es_hybrid_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = written(D.corpus(spark, sf_dir), "docs")
+    """Queries without a term match all documents by the dis-max branch."""
+    docs, queries = written(D.corpus(spark, sf_dir), "docs"), D.judged_queries(spark, sf_dir, D.graded(spark, sf_dir))
+    terms = D.query_tokens(queries)
     counted = written(term_counts(docs), "counts")
     lexical = written(lexical_weights(docs, counted=counted), "lexical")
-    return top_k_dot(hybrid_postings(bm25_weights(docs, counted=counted), dismax_postings(saturation(lexical))), graded_queries(spark, sf_dir), 10)
+    return top_k_dot(hybrid_postings(bm25_weights(docs, counted=counted), dismax_postings(saturation(lexical))), terms, 10).unionByName(match_all(docs, queries, terms, 10, 0.6))
 
 
 def lexical_encode_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -235,6 +239,25 @@ def hashed_dim_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hashed_postings(D.sparse_postings(spark, sf_dir))
 
 
+#: Fixed values of the example of an encoder's output: terms that never count, and positions that are read.
+SPECIAL, READ = ("the", "of", "and"), 48
+
+
+def pooled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pooling of a made-up encoder output over beir_corpus: a logit for every token, by its length and position; later positions are masked."""
+    at = D.corpus(spark, sf_dir).select("doc_id", F.posexplode(tokens("content")).alias("position", "term"))
+    logit = F.length("term") * F.lit(0.5) - F.lit(1.5) + (F.col("position") % 4) * F.lit(0.25)
+    rows = at.select("doc_id", "position", "term", logit.alias("logit"), (F.col("position") < READ).cast("int").alias("mask"))
+    special = spark.createDataFrame([(t,) for t in SPECIAL], "term string")
+    return pool_logits(rows, special, 20).withColumn("weight", F.round("weight", DIGITS))
+
+
+def vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Postings by a vocabulary that gives every term its length as position, of which 3 to 9 are within the dimension."""
+    postings = D.sparse_postings(spark, sf_dir)
+    return vocabulary_postings(postings, postings.select("term").distinct().withColumn("idx", F.length("term") - 3), 7)
+
+
 def bm25_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = D.corpus(spark, sf_dir).select(F.size(tokens("content")).alias("len"))
     return words.agg(F.count(F.lit(1)).alias("n_docs"), F.sum("len").alias("n_tokens"), F.round(F.avg(F.when(F.col("len") > 0, F.col("len"))), 6).alias("avgdl"))
@@ -252,6 +275,8 @@ QUERIES = {
     "dismax_topk": dismax_topk,
     "es_hybrid_topk": es_hybrid_topk,
     "hashed_dim_postings": hashed_dim_postings,
+    "pool_logits": pooled,
+    "vocab_postings": vocabulary,
 }
 
 
@@ -267,9 +292,12 @@ _SAT = "sat AS (SELECT doc_id, term, weight / (weight + exp(avg(ln(weight)) OVER
 _DISMAX = "SELECT query_id, doc_id, 0.3::DOUBLE * max(p.weight * q.weight) + 0.7::DOUBLE * sum(p.weight * q.weight) AS score FROM sat p JOIN {q} q USING (term) GROUP BY 1, 2"
 _LEX = """lex AS (SELECT doc_id, term, weight FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY weight DESC, term) AS r FROM (
   SELECT doc_id, term, round(ln(1 + tf) * ln(1 + n / df), 6) AS weight FROM tf JOIN dfs USING (term) CROSS JOIN st)) WHERE r <= {k})"""
+#: Queries of {q} without a term in {t}: the ten first documents of {d}.
+_ALL = """SELECT query_id, doc_id, {s}::DOUBLE AS score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY doc_id) AS INTEGER) AS rank
+  FROM (SELECT query_id FROM {q} WHERE query_id NOT IN (SELECT query_id FROM {t})) CROSS JOIN (SELECT doc_id FROM ({d}) WHERE doc_id IS NOT NULL ORDER BY doc_id LIMIT 10)"""
 _GRADED, _BINARY = ("docs", "graded", "all_q", "gq", "gqt", "tf", "bm"), ("judged_binary", "all_q", "bq", "bqt", "post")
 SQL = {
-    "corpus_render": D.with_("docs") + "SELECT doc_id, CAST(length(content) AS INTEGER) AS n_chars, substring(content, 1, 200) AS snippet FROM docs",
+    "corpus_render": D.with_("docs") + "SELECT doc_id, content, CAST(length(content) AS INTEGER) AS n_chars, substring(content, 1, 200) AS snippet FROM docs",
     "bm25_stats": D.with_("docs", "tf", "bm") + "SELECT (SELECT count(*) FROM docs) AS n_docs, CAST(sum(tf) AS BIGINT) AS n_tokens, round((SELECT avgdl FROM st), 6) AS avgdl FROM tf",
     "bm25_topk": D.with_(*_GRADED) + ranked_sql(_DOT.format(p="bm", q="gqt"), 10),
     "lexical_encode_topk": D.with_("docs", "tf", "bm") + ", " + _LEX.format(k=20) + " SELECT * FROM lex",
@@ -277,8 +305,13 @@ SQL = {
     "sparse_dot_topk": D.with_(*_BINARY) + ranked_sql(_DOT.format(p="post", q="bqt"), 10),
     "pg_overlap_topk": D.with_(*_BINARY) + ranked_sql(_DOT.format(p="post", q="bqt"), 20),
     "sparse_cosine_topk": D.with_(*_BINARY) + ", " + _UNIT.format(n="pu", k="doc_id", t="post") + ", " + _UNIT.format(n="qu", k="query_id", t="bqt") + " " + ranked_sql(_DOT.format(p="pu", q="qu"), 10),
-    "dismax_topk": D.with_(*_BINARY) + ", " + _SAT.format(t="post") + " " + ranked_sql(_DISMAX.format(q="bqt"), 10),
+    "dismax_topk": D.with_(*_BINARY) + ", " + _SAT.format(t="post") + f" {ranked_sql(_DISMAX.format(q='bqt'), 10)} UNION ALL "
+    + _ALL.format(q="bq", t="bqt", s="1.0", d=f"SELECT DISTINCT {D._norm('doc_id')} AS doc_id FROM pg_documents"),
+    "pool_logits": D.with_("docs") + f""", tk AS (SELECT doc_id, t AS toks, unnest(range(len(t))) AS pos FROM (SELECT doc_id, {D._tokens('content')} AS t FROM docs)),
+    pw AS (SELECT doc_id, toks[pos + 1] AS term, max(ln(1 + greatest(length(toks[pos + 1]) * 0.5::DOUBLE - 1.5::DOUBLE + (pos % 4) * 0.25::DOUBLE, 0))) AS w FROM tk WHERE pos < {READ} GROUP BY 1, 2)
+    SELECT doc_id, term, round(w, 6) AS weight FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY w DESC, term) AS r FROM pw WHERE w > 0 AND term NOT IN {SPECIAL}) WHERE r <= 20""",
+    "vocab_postings": D.with_("post") + "SELECT doc_id, CAST(length(term) - 3 AS INTEGER) AS idx, arg_max(weight, term) AS weight FROM post WHERE length(term) BETWEEN 3 AND 9 GROUP BY 1, 2",
     "es_hybrid_topk": D.with_(*_GRADED)
     + ", " + _LEX.format(k=100) + ", " + _SAT.format(t="lex") + " "
-    + ranked_sql(f"SELECT query_id, doc_id, sum(w * score) AS score FROM (SELECT *, 0.4::DOUBLE AS w FROM ({_DOT.format(p='bm', q='gqt')}) UNION ALL SELECT *, 0.6::DOUBLE FROM ({_DISMAX.format(q='gqt')})) GROUP BY 1, 2", 10),
+    + ranked_sql(f"SELECT query_id, doc_id, sum(w * score) AS score FROM (SELECT *, 0.4::DOUBLE AS w FROM ({_DOT.format(p='bm', q='gqt')}) UNION ALL SELECT *, 0.6::DOUBLE FROM ({_DISMAX.format(q='gqt')})) GROUP BY 1, 2", 10) + " UNION ALL " + _ALL.format(q="gq", t="gqt", s="0.6", d="SELECT doc_id FROM docs"),
 }

@@ -21,6 +21,11 @@ def corpus(spark: SparkSession, folder: str) -> DataFrame:
     return current_records(lines, "doc_id", ["line_no"], ["content"])
 
 
+def store_ids(spark: SparkSession, folder: str) -> DataFrame:
+    """doc_id of all documents of pg_documents."""
+    return table(spark, folder, "pg_documents").select(normal_id("doc_id").alias("doc_id")).filter("doc_id IS NOT NULL").distinct()
+
+
 def graded(spark: SparkSession, folder: str) -> DataFrame:
     """query_id, doc_id, grade of beir_qrels, only grades above 0; of several the highest."""
     rows = table(spark, folder, "beir_qrels").select("query_id", normal_id("corpus_id").alias("doc_id"), F.col("score").alias("grade"))

@@ -75,7 +75,7 @@ class SavedIndex:
         found = {"es_bm25": self._blocks("bm25", sparse.token_terms(queries), k, blocks.Bm25())}
         if sparse_encoder and self.table("postings") is not None:
             terms = written(sparse_encoder.queries(queries), "terms")
-            bare = sparse.match_all(self.docs, queries, terms, k)
+            bare = sparse.match_all(self.docs, queries, terms, k, 0.6)  # the sparse branch's weight
             found["es_hybrid"] = self._blocks("hybrid", terms, k).unionByName(bare)
             found["hnsw_sparse"] = self._blocks("cosine", sparse.unit_length(terms, "query_id"), k)
             found["pg_sparse"] = self._blocks("overlap", terms, k)
