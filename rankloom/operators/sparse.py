@@ -173,6 +173,11 @@ def vocabulary_postings(postings: DataFrame, vocabulary: DataFrame, dim: int) ->
     return postings.join(vocabulary, "term").filter(F.col("idx").between(0, dim - 1)).groupBy("doc_id", "idx").agg(F.max_by("weight", "term").alias("weight"))
 
 
+def vocabulary_terms(postings: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """doc_id, term, weight of postings doc_id, idx, weight; positions without a term are dropped."""
+    return postings.join(vocabulary.select("term", "idx"), "idx").select("doc_id", "term", "weight")
+
+
 def p_corpus_render(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.corpus(spark, sf_dir).select("doc_id", "content", F.length("content").alias("n_chars"), F.substring("content", 1, 200).alias("snippet"))
 

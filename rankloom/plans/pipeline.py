@@ -2,19 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from typing import Protocol
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rankloom.functions.text import render_document, tokens
-from rankloom.operators import dense, fusion, rerank, sparse
+from rankloom.operators import blocks, dense, fusion, rerank, sparse
+from rankloom.operators.records import skew_safe_left_join
 from rankloom.operators.sparse import hashed_dimension
 from rankloom.plans import datasets as D
-from rankloom.session import written
+from rankloom.session import scratch_path, written
 
 #: What is put before queries, by a part of the model's name.
 QUERY_PREFIXES = {"bge": "Represent this sentence for searching relevant passages: ", "e5": "query: ", "gte": "", "all-minilm": ""}
@@ -74,22 +76,91 @@ class HashedEncoder:
         return self._vectors(queries, "query_id", F.concat(F.lit(self.prefix), F.coalesce("text", F.lit(""))))
 
 
-def encode_with(df: DataFrame, key: str, text: str, encode: Callable[[list[str]], np.ndarray], prefix: str = "", batch: int = 64, normalize: bool = True) -> DataFrame:
-    """``key``, ``embedding`` by a model: ``encode(texts) -> matrix``, called once per ``batch`` texts in Arrow batches."""
+def encode_with(df: DataFrame, key: str, text: str, encode: Callable[[list[str]], np.ndarray], dim: int, prefix: str = "", batch: int = 64, normalize: bool = True) -> DataFrame:
+    """``key``, ``embedding`` by a model: ``encode(texts) -> matrix``, called once per ``batch`` texts in Arrow batches. Another width than ``dim`` raises."""
     kind = df.schema[key].dataType.simpleString()
 
     def run(batches):
-        import pandas as pd
+        for whole in batches:
+            for lo in range(0, whole.num_rows, batch):
+                part = whole.slice(lo, batch)
+                x = np.asarray(encode([prefix + (t or "") for t in part.column(1).to_pylist()]), np.float32)
+                if x.shape != (part.num_rows, dim):
+                    raise ValueError(f"the model gave {x.shape}, not {(part.num_rows, dim)}")
+                if normalize:
+                    x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+                ends = np.arange(0, x.size + 1, dim, dtype=np.int32)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(x.reshape(-1)))], [key, "embedding"])
 
-        for pdf in batches:
-            texts = [prefix + (t or "") for t in pdf[text]]
-            parts = [np.asarray(encode(texts[i : i + batch]), np.float32) for i in range(0, len(texts), batch)]
-            x = np.concatenate(parts) if parts else np.zeros((0, 1), np.float32)
-            if normalize:
-                x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-            yield pd.DataFrame({key: pdf[key], "embedding": list(x)})
+    return df.select(key, text).mapInArrow(run, f"{key} {kind}, embedding array<float>")
 
-    return df.select(key, text).mapInPandas(run, f"{key} {kind}, embedding array<float>")
+
+class ModelDenseEncoder:
+    """A dense model ``encode(texts) -> matrix`` of width ``dim``; ``prefix`` is put before queries."""
+
+    def __init__(self, encode: Callable[[list[str]], np.ndarray], dim: int, prefix: str = "", batch: int = 64, normalize: bool = True):
+        self.encode, self.dim, self.prefix, self.batch, self.normalize = encode, dim, prefix, batch, normalize
+
+    def documents(self, docs: DataFrame) -> DataFrame:
+        return encode_with(docs, "doc_id", "content", self.encode, self.dim, "", self.batch, self.normalize)
+
+    def queries(self, queries: DataFrame) -> DataFrame:
+        return encode_with(queries, "query_id", "text", self.encode, self.dim, self.prefix, self.batch, self.normalize)
+
+
+def encode_sparse_with(df: DataFrame, key: str, text: str, forward: Callable, vocabulary: Sequence[str], special: Sequence[int] = (), top_terms: int = 100, batch: int = 32) -> DataFrame:
+    """``key``, ``term``, ``weight`` by a model: ``forward(texts) -> (logits [n, positions, terms], mask [n, positions])``.
+
+    A term's weight is the maximum over unmasked positions of log1p(relu(logit));
+    special ids never count. The ``top_terms`` greatest stay, of equal ones the
+    smaller ids. Called once per ``batch`` texts.
+    """
+    kind, names, never = df.schema[key].dataType.simpleString(), np.array(list(vocabulary), object), list(special)
+
+    def run(batches):
+        for whole in batches:
+            for lo in range(0, whole.num_rows, batch):
+                part = whole.slice(lo, batch)
+                logits, mask = (np.asarray(x, np.float64) for x in forward([t or "" for t in part.column(1).to_pylist()]))
+                weights = np.log1p(np.maximum(logits, 0) * (mask[:, :, None] > 0)).max(axis=1, initial=0)
+                weights[:, never] = 0
+                order = np.argsort(-weights, axis=1, kind="stable")[:, :top_terms]
+                best = np.take_along_axis(weights, order, axis=1)
+                row, column = np.nonzero(best > 0)
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row)), pa.array(names[order[row, column]].tolist(), pa.string()), pa.array(best[row, column])], [key, "term", "weight"])
+
+    return df.select(key, text).mapInArrow(run, f"{key} {kind}, term string, weight double")
+
+
+class ModelSparseEncoder:
+    """A sparse model, see :func:`encode_sparse_with`. With ``quantize`` weights are whole numbers of 255ths of the documents' greatest weight.
+
+    That weight, ``global_max``, is set by :meth:`documents` and kept with a
+    saved index; queries before it is known stay unquantised.
+    """
+
+    def __init__(self, forward: Callable, vocabulary: Sequence[str], special: Sequence[int] = (), top_terms: int = 100, batch: int = 32, quantize: bool = False):
+        self.how = {"forward": forward, "vocabulary": vocabulary, "special": special, "top_terms": top_terms, "batch": batch}
+        self.quantize, self.global_max = quantize, None
+
+    def _scaled(self, rows: DataFrame) -> DataFrame:
+        if not self.quantize or self.global_max is None:
+            return rows
+        return rows.withColumn("weight", F.floor(F.col("weight") / F.lit(self.global_max) * 255).cast("double")).filter("weight > 0")
+
+    def documents(self, docs: DataFrame) -> DataFrame:
+        rows = written(encode_sparse_with(docs, "doc_id", "content", **self.how), "encoded")
+        self.global_max = sparse.global_max(rows).first().global_max
+        return self._scaled(rows)
+
+    def queries(self, queries: DataFrame) -> DataFrame:
+        return self._scaled(encode_sparse_with(queries, "query_id", "text", **self.how))
+
+
+def attach_contents(hits: DataFrame, docs: DataFrame) -> DataFrame:
+    """``hits`` with the content of their documents (unique ids), empty where there is none; a document in most results is looked up by a broadcast."""
+    contents = docs.select("doc_id", "content")
+    return skew_safe_left_join(hits, contents, "doc_id").withColumn("content", F.coalesce("content", F.lit("")))
 
 
 @dataclass
@@ -123,9 +194,11 @@ class HybridRetriever:
             docs = docs.select("doc_id", render_document("title", "text").alias("content"))
         self.docs = docs
         if self.sparse_encoder:
-            self.postings = written(self.sparse_encoder.documents(docs), "postings")
+            self.postings = blocks.store_blocks(blocks.posting_blocks(self.sparse_encoder.documents(docs)))
         if self.dense_encoder:
-            self.vectors = written(self.dense_encoder.documents(docs), "vectors")
+            path = scratch_path(docs.sparkSession, "vectors")
+            dense.store_vectors(self.dense_encoder.documents(docs), path, "doc_id", "embedding", self.dense_encoder.dim)
+            self.vectors = docs.sparkSession.read.parquet(path)
         return self
 
     def search(self, queries: DataFrame, all_stages: bool = False) -> DataFrame:
@@ -135,7 +208,7 @@ class HybridRetriever:
             asked = self.dense_encoder.queries(queries)
             stages["dense"] = dense.exact_topk(self.vectors, asked, s.top_k, "doc_id", "query_id", "embedding", self.dense_encoder.dim)
         if self.sparse_encoder:
-            stages["sparse"] = sparse.top_k_dot(self.postings, self.sparse_encoder.queries(queries), s.top_k)
+            stages["sparse"] = sparse.rank_hits(blocks.top_k_blocks(self.postings, self.sparse_encoder.queries(queries), s.top_k, sparse.DIGITS), s.top_k)
         last = next(reversed(stages))
         if len(stages) == 2:
             stages = {n: written(h, n) for n, h in stages.items()}
@@ -154,6 +227,5 @@ class HybridRetriever:
                     hits = hits.withColumn(c, F.lit(None).cast("double"))
             rows = hits.select(F.lit(name).alias("stage"), "query_id", "doc_id", "rank", "score", "rerank_score", "retrieval_score")
             out = rows if out is None else out.unionByName(rows)
-        contents = self.docs.select("doc_id", F.coalesce("content", F.lit("")).alias("content"))
-        joined = out.join(contents, "doc_id", "left")
-        return joined.select("stage", "query_id", "doc_id", "rank", "score", F.coalesce("content", F.lit("")).alias("content"), "rerank_score", "retrieval_score")
+        columns = ("stage", "query_id", "doc_id", "rank", "score", "content", "rerank_score", "retrieval_score")
+        return attach_contents(out, self.docs).select(*columns)

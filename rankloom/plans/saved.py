@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from rankloom import schemas
 from rankloom.operators import blocks, dense, fusion, graph, rag, sparse
-from rankloom.plans.pipeline import DenseEncoder, SparseEncoder
+from rankloom.plans.pipeline import DenseEncoder, SparseEncoder, attach_contents
 from rankloom.session import path_exists, written
 from rankloom.sources import sinks
 from rankloom.utils import stopwatch
@@ -38,7 +38,7 @@ def build(docs: DataFrame, out: str, sparse_encoder: SparseEncoder | None, dense
         with stopwatch(took, "postings"):
             sinks.save_index(sparse_encoder.documents(docs), f"{out}/postings")
             postings = spark.read.parquet(f"{out}/postings")
-            meta["global_max"] = sparse.global_max(postings).first().global_max  # queries are quantised by it too
+            meta["global_max"] = getattr(sparse_encoder, "global_max", None) or sparse.global_max(postings).first().global_max
         with stopwatch(took, "sparse blocks"):
             blocks.store_blocks(blocks.posting_blocks(sparse.unit_length(postings, "doc_id")), f"{out}/cosine")
             blocks.store_blocks(blocks.posting_blocks(postings), f"{out}/overlap")
@@ -74,6 +74,8 @@ class SavedIndex:
         """system, query_id, doc_id, rank, score, content of every system that the index can serve, and of their fusion."""
         found = {"es_bm25": self._blocks("bm25", sparse.token_terms(queries), k, blocks.Bm25())}
         if sparse_encoder and self.table("postings") is not None:
+            if hasattr(sparse_encoder, "global_max"):  # queries are quantised as the documents were
+                sparse_encoder.global_max = self.meta["global_max"]
             terms = written(sparse_encoder.queries(queries), "terms")
             bare = sparse.match_all(self.docs, queries, terms, k, 0.6)  # the sparse branch's weight
             found["es_hybrid"] = self._blocks("hybrid", terms, k).unionByName(bare)
@@ -98,11 +100,15 @@ class SavedIndex:
             if name in found:
                 rows = found[name].select(F.lit(name).alias("system"), *columns)
                 out = rows if out is None else out.unionByName(rows)
-        contents = self.docs.select("doc_id", F.coalesce("content", F.lit("")).alias("content"))
-        return out.join(contents, "doc_id", "left").select("system", *columns, F.coalesce("content", F.lit("")).alias("content"))
+        return attach_contents(out, self.docs).select("system", *columns, "content")
 
 
 def rag_answers(hits: DataFrame, queries: DataFrame, generate: Callable | None = None, top_k: int = 5, max_tokens: int = 2048) -> DataFrame:
-    """query_id, rag: an answer from the leading hits of the fused ranking."""
-    context = rag.build_context(hits.filter((F.col("system") == "hybrid_fused") & (F.col("rank") <= top_k)), max_tokens)
-    return rag.answers(rag.prompts(context, queries), generate).withColumnRenamed("answer", "rag")
+    """query_id, rag (question, retrieved_docs, context, answer) from the leading hits of the fused ranking; texts in it are excerpts."""
+    first = hits.filter((F.col("system") == "hybrid_fused") & (F.col("rank") <= top_k))
+    context = written(rag.build_context(first, max_tokens), "context")
+    answer = rag.answers(rag.prompts(context, queries), generate)
+    hit = F.struct("rank", "doc_id", F.substring("content", 1, 200).alias("content"), "score")
+    found = first.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(hit)), lambda h: F.struct(h["doc_id"].alias("doc_id"), h["content"].alias("content"), h["score"].alias("score"))).alias("retrieved_docs"))
+    rows = answer.join(found, "query_id").join(context.select("query_id", rag.excerpt("context").alias("context")), "query_id").join(queries.select("query_id", "text"), "query_id")
+    return rows.select("query_id", F.struct(F.col("text").alias("question"), "retrieved_docs", "context", "answer").alias("rag"))

@@ -137,7 +137,8 @@ def test_index_query_evaluate_tune(spark, tmp_path, monkeypatch):
     rows = {r.query_id: r for r in files.read_results(spark, res).collect()}
     for system in schemas.SYSTEMS:
         assert rows["q2"][system][0].doc_id == "d2" and rows["q2"][system][0].content.startswith("plum"), system
-    assert rows["q2"].rag.startswith("[NO LLM]") and "plum" in rows["q2"].rag
+    answer = rows["q2"].rag
+    assert answer.answer.startswith("[NO LLM]") and "plum" in answer.context and answer.question == "plum" and answer.retrieved_docs[0].doc_id == "d2"
     assert [h.doc_id for h in rows["bare"].es_hybrid][:2] == ["d0", "d1"] and not rows["bare"].es_bm25  # without a term all match alike
     qrels = write(tmp_path / "j.jsonl", *[{"query_id": f"q{i}", "relevant_doc_ids": [f"d{i}"]} for i in range(6)])
     assert jobs.main(["evaluate", "--results", res, "--qrels", qrels, "--log", log], spark) == 0

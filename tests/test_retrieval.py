@@ -10,8 +10,9 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from rankloom.operators import dense, evaluate, fusion, graph, rag, rerank, sparse
-from rankloom.plans.pipeline import HashedEncoder, HybridRetriever, LexicalEncoder, Settings, query_prefix
+from rankloom.operators import blocks, dense, evaluate, fusion, graph, rag, rerank, sparse
+from rankloom.plans.pipeline import HashedEncoder, HybridRetriever, LexicalEncoder, ModelDenseEncoder, ModelSparseEncoder, Settings, encode_sparse_with, query_prefix
+from rankloom.session import scratch_path
 
 LISTS = "query_id string, list int, pos int, doc_id string, score double, content string"
 HITS = "query_id string, doc_id string, rank int, score double"
@@ -167,10 +168,65 @@ def test_encoder_pieces(spark):
     assert sparse.global_max(post.limit(0)).first().global_max == 1.0
     assert spark.range(1).select(sparse.hashed_dimension(F.lit("retrieval")).alias("h")).first().h == 4600
     vocab = spark.createDataFrame([("a", 3), ("b", 99)], "term string, idx int")
-    assert [tuple(r) for r in sparse.vocabulary_postings(post, vocab, 10).collect()] == [("d", 3, 10.0)]
+    by_id = sparse.vocabulary_postings(post, vocab, 10)
+    assert [tuple(r) for r in by_id.collect()] == [("d", 3, 10.0)]
+    assert [tuple(r) for r in sparse.vocabulary_terms(by_id, vocab).collect()] == [("d", "a", 10.0)]
     assert {r.weight for r in sparse.unit_length(post.withColumn("weight", F.lit(0.0)), "doc_id").collect()} == {0.0}
 
 
+def test_models_encode_in_batches(spark):
+    words = ["[CLS]", "red", "green", "blue"]
+
+    def forward(texts):  # a position per word, the last one is padding
+        n = max(len(t.split()) for t in texts) + 1
+        logits, mask = np.full((len(texts), n, 4), -1.0), np.zeros((len(texts), n))
+        for i, t in enumerate(texts):
+            for j, w in enumerate(t.split()):
+                logits[i, j, words.index(w)], logits[i, j, 0], mask[i, j] = 1.0 + j, 9.0, 1
+            logits[i, -1] = 50.0
+        return logits, mask
+
+    docs = spark.createDataFrame([("a", "red green"), ("b", "blue red red"), ("n", None)], "doc_id string, content string")
+    queries = spark.createDataFrame([("q", "green"), ("e", "")], "query_id string, text string")
+    rows = {(r.doc_id, r.term): r.weight for r in encode_sparse_with(docs, "doc_id", "content", forward, words, [0], 2, 2).collect()}
+    assert rows == {("a", "green"): pytest.approx(np.log(3)), ("a", "red"): pytest.approx(np.log(2)), ("b", "red"): pytest.approx(np.log(4)), ("b", "blue"): pytest.approx(np.log(2))}
+    encoder = ModelSparseEncoder(forward, words, [0], quantize=True)
+    assert [r.weight for r in encoder.queries(queries).collect()] == [pytest.approx(np.log(2))]  # not known yet
+    got = {(r.doc_id, r.term): r.weight for r in encoder.documents(docs).collect()}
+    assert got["b", "red"] == 255 and got["a", "green"] == int(np.log(3) / np.log(4) * 255)
+    assert [r.weight for r in encoder.queries(queries).collect()] == [int(np.log(2) / np.log(4) * 255)]
+
+    dense_model = ModelDenseEncoder(lambda texts: [[len(t), 1.0] for t in texts], 2, "query: ", 1)
+    assert dense_model.documents(docs).filter("doc_id = 'n'").first().embedding == [0.0, 1.0]
+    assert dense_model.queries(queries).filter("query_id = 'e'").first().embedding == pytest.approx([7 / 50**0.5, 1 / 50**0.5])
+    with pytest.raises(Exception, match="the model gave"):
+        ModelDenseEncoder(lambda texts: [[1.0]] * len(texts), 2).documents(docs).collect()
+    found = HybridRetriever(encoder, dense_model, None, Settings(top_k=2)).index(docs).search(queries, all_stages=True)
+    assert found.filter("stage = 'sparse' AND query_id = 'q'").first().doc_id == "a"
+    bad = spark.createDataFrame([("a", [1.0])], "doc_id string, embedding array<float>")
+    with pytest.raises(ValueError, match="has 1 elements"):
+        dense.store_vectors(bad, scratch_path(spark, "v"), "doc_id", "embedding", 2)
+
+
+def test_batches_of_queries_change_nothing(spark):
+    rng = np.random.default_rng(4)
+    rows = [(f"d{i:03}", f"t{t}", float(rng.integers(1, 5))) for i in range(150) for t in rng.choice(20, 5, replace=False)]
+    post = spark.createDataFrame(rows, POST)
+    terms = spark.createDataFrame([(f"q{q}", f"t{t}", 1.0) for q in range(30) for t in rng.choice(20, 3, replace=False)], TERMS)
+    stored = blocks.store_blocks(blocks.posting_blocks(post))
+    want = sorted(map(tuple, sparse.rank_hits(sparse.dot_scores(post, terms), 6).collect()))
+    for size in (None, 7):
+        assert sorted(map(tuple, sparse.rank_hits(blocks.top_k_blocks(stored, terms, 6, sparse.DIGITS, size=size), 6).collect())) == want
+    x = rng.normal(size=(300, 4)).astype(np.float32)
+    v = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id bigint, embedding array<float>")
+    one, many = (sorted(map(tuple, dense.exact_topk(v, dense.asking(v), 5, "vec_id", "vec_id", "embedding", 4, size=s).collect())) for s in (None, 1))
+    assert one == many and len(one) == 15
+    assert sparse.top_k_dot(post.limit(0), terms, 5).count() == 0
+    texts = spark.createDataFrame([("a", "x x y"), ("b", None), ("c", ""), (None, "x")], "doc_id string, content string")
+    hits = sparse.bm25_topk_of(texts, spark.createDataFrame([("q", "x", 1.0)], TERMS), 5).collect()
+    assert [(r.doc_id, r.score) for r in hits] == [("a", round(float(np.log(1 + 2.5 / 1.5)) * 2 / 3.2, 6))]
+
+
 def test_match_all_without_positive_terms(spark):
     docs = spark.createDataFrame([("b",), ("a",), ("c",)], "doc_id string")
     queries = spark.createDataFrame([("q", "?!"), ("p", "x")], "query_id string, text string")
