@@ -111,7 +111,17 @@ def p2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("src_table", "rec_id", F.posexplode("pieces").alias("p", "piece")).select("src_table", "rec_id", (F.col("p") + 1).alias("piece_no"), "piece")
 
 
-QUERIES = {"p2_found": p2_found, "p2_pieces": p2_pieces}
+def p2_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What holds of every cut record: ``n_chars`` that its pieces cover without the overlaps, and whether all are within the limit and share 200 characters."""
+    found = _both(spark, sf_dir, ["rec_id", "pieces"])
+    sizes = F.transform("pieces", lambda p: F.length(p))
+    n = F.aggregate(sizes, F.lit(0), lambda a, x: a + x) - 200 * (F.size("pieces") - 1)
+    pairs = F.zip_with(F.slice("pieces", 1, F.size("pieces") - 1), F.slice("pieces", 2, F.size("pieces")), lambda a, b: F.right(a, F.lit(200)) == F.left(b, F.lit(200)))
+    whole = (F.array_max(sizes) <= 2048) & F.forall(pairs, lambda x: x)
+    return found.select("src_table", "rec_id", n.alias("n_chars"), whole.alias("kept"))
+
+
+QUERIES = {"p2_found": p2_found, "p2_pieces": p2_pieces, "p2_cover": p2_cover}
 
 _TRIM = "trim({c}, ' ' || chr(9) || chr(10) || chr(13) || chr(160))"
 _P2 = """
@@ -124,4 +134,8 @@ SQL = {
     "p2_found": _P2.format(t="pg_documents", k="doc_id", v="updated_at", trim=_TRIM.format(c="content"))
     + " UNION ALL "
     + _P2.format(t="beir_corpus", k="_id", v="line_no", trim=_TRIM.format(c="text")),
+    "p2_cover": " UNION ALL ".join(
+        f"SELECT '{t}' AS src_table, {k} AS rec_id, CAST(length(x) AS INTEGER) AS n_chars, true AS kept FROM (SELECT {k}, {_TRIM.format(c=c)} AS x FROM (SELECT *, row_number() OVER (PARTITION BY {k} ORDER BY {v} DESC) AS r FROM {t}) WHERE r = 1) WHERE length(x) > 2048"
+        for t, k, v, c in (("pg_documents", "doc_id", "updated_at", "content"), ("beir_corpus", "_id", "line_no", "text"))
+    ),
 }
