@@ -21,7 +21,7 @@ from rankloom.functions.text import tokens
 from rankloom.session import scratch_path, written
 
 #: Documents in a block, and postings from which a block is closed.
-BLOCK, BLOCK_POSTINGS = 2_048, 1 << 20
+BLOCK, BLOCK_POSTINGS = 8_192, 1 << 21
 #: Queries in a batch: what is broadcast at once is that many queries' terms or vectors.
 QUERY_BATCH = 32_768
 #: Parquet settings under which a reader holds few blocks at a time.
@@ -292,20 +292,41 @@ def _search(row: tuple, asked: Batch, weigh: Bm25 | None, smaller: bool, floors:
         d, w = d[places], weigh(np.repeat(mine, size), w[places], length[d[places]])
         hi[mine] = np.cumsum(size)
         lo[mine] = hi[mine] - size
-    lo, hi, term, weight, starts = lo.tolist(), hi.tolist(), asked.term.tolist(), asked.weight.tolist(), asked.ends.tolist()
-    touched = np.logical_or.reduceat(np.append(here[asked.term], False), asked.ends[:-1]) if len(asked.term) else np.zeros(len(asked.ids), bool)
+    # no document can score above the sum of its terms' greatest weights: most queries need no look at most blocks
+    size = hi - lo
+    live = np.flatnonzero(size)
+    bound, peak = np.zeros(len(size)), np.zeros(len(size))
+    bound[live] = [w[a:b].max() for a, b in zip(lo[live].tolist(), hi[live].tolist(), strict=True)]
+    if len(p):
+        peak[live] = [p[a:b].max() for a, b in zip(lo[live].tolist(), hi[live].tolist(), strict=True)]
+    part = np.minimum(bound[asked.term], asked.weight) if smaller else bound[asked.term] * asked.weight
+    most = np.append(0.0, np.cumsum(part))
+    most = most[asked.ends[1:]] - most[asked.ends[:-1]]
+    if len(p) and len(asked.term):
+        grouped = np.maximum.reduceat(np.append(peak[asked.term] * asked.weight, 0.0), asked.ends[:-1])
+        most += np.where(np.diff(asked.ends) > 0, grouped, 0)
     ids = row[0].values
-    score, top = np.zeros(len(ids)), np.zeros(len(ids)) if len(p) else None
-    for q in np.flatnonzero(touched & (np.diff(asked.ends) > 0)).tolist():
+    n_docs = len(ids)
+    dense = {}
+    for x in np.flatnonzero(4 * size > n_docs).tolist():
+        dense[x] = np.zeros(n_docs)
+        dense[x][d[lo[x] : hi[x]]] = w[lo[x] : hi[x]]
+    lo, hi, term, weight, starts = lo.tolist(), hi.tolist(), asked.term.tolist(), asked.weight.tolist(), asked.ends.tolist()
+    score, top = np.zeros(n_docs), np.zeros(n_docs) if len(p) else None
+    for q in np.flatnonzero((most > 0) & (most * (1 + 1e-9) >= floors.floor - 10.0**-digits)).tolist():
         score[:] = 0
         if top is not None:
             top[:] = 0
         for i in range(starts[q], starts[q + 1]):
-            a, b = lo[term[i]], hi[term[i]]
+            x = term[i]
+            a, b = lo[x], hi[x]
             if a < b:
-                docs = d[a:b]
-                score[docs] += np.minimum(w[a:b], weight[i]) if smaller else w[a:b] * weight[i]
+                if x in dense:
+                    score += np.minimum(dense[x], weight[i]) if smaller else dense[x] * weight[i]
+                else:
+                    score[d[a:b]] += np.minimum(w[a:b], weight[i]) if smaller else w[a:b] * weight[i]
                 if top is not None:
+                    docs = d[a:b]
                     top[docs] = np.maximum(top[docs], p[a:b] * weight[i])
         full = score if top is None else score + top
         floor = floors.floor[q]
