@@ -344,7 +344,7 @@ class ToxicChain:
     def fit(self, x: Sample, doc: np.ndarray, q: np.ndarray, evidence: np.ndarray, fold: np.ndarray, seed: int) -> None:
         none = np.zeros((len(doc), 0))
         r = q[doc]
-        for _ in range(2):
+        for _ in range(3):
             p = sigmoid(self._out_of_fold(x, none, r, fold, np.ones(len(r)), rounds=40))
             miss = np.ones(len(q))
             np.multiply.at(miss, doc, 1 - np.clip(p, 0, 0.999))
@@ -367,7 +367,7 @@ class ToxicChain:
         self.links = links
         best = np.zeros(len(q))
         np.maximum.at(best, doc, p)
-        cuts = np.linspace(0.06, 0.9, 43)
+        cuts = np.linspace(0.25, 0.9, 34)
         f1 = np.array([2 * q[best >= c].sum() / ((best >= c).sum() + q.sum()) for c in cuts])
         self.cut = float(cuts[np.argmax(f1 >= 0.995 * f1.max())])  # of cuts about as good the lowest: what is missed costs more
         return used_parts, used_pairs
