@@ -21,6 +21,8 @@ DOC_BLOCK, QUERY_BLOCK = 8_192, 1_024
 FIT_SAMPLE = 20_000
 #: Cells, at most, where their number follows the documents.
 MAX_CELLS = 1_024
+#: Blocks of one cell that a task meets, about.
+CELL_BLOCKS = 8
 
 
 def matrix(column: pa.Array, dim: int | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -149,8 +151,11 @@ class CellIndex:
         self.dim, self.centers = dim, kmeans(sample, n_cells) if len(sample) else np.zeros((1, dim), np.float32)
         self.cells = written(self._gathered(docs, key, vector), "cells")
         self.radius = np.full(len(self.centers), -np.inf)  # of an empty cell
-        for cell, r in self.cells.groupBy("cell").agg(F.max("r")).collect():  # a row for each cell
+        salts = []
+        for cell, r, n in self.cells.groupBy("cell").agg(F.max("r"), F.count(F.lit(1))).collect():  # a row for each cell
             self.radius[cell] = r
+            salts.append((cell, -(-n // CELL_BLOCKS)))
+        self.salts = docs.sparkSession.createDataFrame(salts, "cell int, salts int")
 
     def _gathered(self, docs: DataFrame, key: str, vector: str) -> DataFrame:
         """cell, r, ids array<string>, x binary: usable vectors by nearest centroid, in blocks, and the greatest distance from it; no shuffle."""
@@ -221,8 +226,12 @@ class CellIndex:
         return asked.repartition(-(-asked.count() // QUERY_BLOCK) or 1)  # full blocks: documents travel once for each
 
     def _met(self, probed: DataFrame, cells: DataFrame) -> DataFrame:
-        """Blocks of documents and queries of one cell; not dealt out again, as each block of documents would travel with each of queries."""
-        return cells.join(probed, "cell")
+        """Blocks of documents and queries of one cell. A large cell is dealt out by its blocks of documents, CELL_BLOCKS to a task, and its queries go to each of these."""
+        salts = F.broadcast(self.salts)
+        dealt = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.col("salts")).cast("int")
+        left = cells.join(salts, "cell").withColumn("salt", dealt).drop("salts")
+        right = probed.join(salts, "cell").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
+        return left.join(right, ["cell", "salt"]).drop("salt")
 
     @staticmethod
     def _raised(asked: DataFrame, floors: DataFrame, k: int) -> DataFrame:

@@ -115,15 +115,8 @@ def saturation(postings: DataFrame) -> DataFrame:
     return postings.join(pivots, "term").select("doc_id", "term", (F.col("weight") / (F.col("weight") + F.col("pivot"))).alias("weight"))
 
 
-def dismax_scores(postings: DataFrame, terms: DataFrame, tie: float = 0.7) -> DataFrame:
-    """query_id, doc_id, score: the best term's part, plus ``tie`` of the others'."""
-    part = F.col("weight") * F.col("qw")
-    joined = postings.join(terms.filter("weight > 0").select("query_id", "term", F.col("weight").alias("qw")), "term")
-    return joined.groupBy("query_id", "doc_id").agg(((1 - tie) * F.max(part) + tie * F.sum(part)).alias("score"))
-
-
 def dismax_postings(postings: DataFrame, tie: float = 0.7) -> DataFrame:
-    """Postings for :func:`top_k_dot` that score as :func:`dismax_scores` does."""
+    """Postings that :func:`top_k_dot` scores by the best term's part, plus ``tie`` of the others'."""
     return postings.select("doc_id", "term", (tie * F.col("weight")).alias("weight"), ((1 - tie) * F.col("weight")).alias("peak"))
 
 
@@ -141,11 +134,6 @@ def match_all(docs: DataFrame, queries: DataFrame, terms: DataFrame, k: int, sco
     return bare.crossJoin(F.broadcast(first)).select("query_id", "doc_id", F.lit(score).alias("score")).withColumn("rank", F.row_number().over(order))
 
 
-def hybrid_scores(bm25: DataFrame, dismax: DataFrame, alpha: float = 0.4, beta: float = 0.6) -> DataFrame:
-    """alpha BM25 + beta dis-max; a document qualifies by either."""
-    return bm25.select("query_id", "doc_id", (alpha * F.col("score")).alias("s")).unionByName(dismax.select("query_id", "doc_id", (beta * F.col("score")).alias("s"))).groupBy("query_id", "doc_id").agg(F.sum("s").alias("score"))
-
-
 def dot_scores(postings: DataFrame, terms: DataFrame) -> DataFrame:
     """query_id, doc_id, score of every document that shares a term."""
     joined = postings.join(terms.filter("weight > 0").select("query_id", "term", F.col("weight").alias("qw")), "term")

@@ -39,6 +39,9 @@ def build(docs: DataFrame, out: str, sparse_encoder: SparseEncoder | None, dense
             sinks.save_index(sparse_encoder.documents(docs), f"{out}/postings")
             postings = spark.read.parquet(f"{out}/postings")
             meta["global_max"] = getattr(sparse_encoder, "global_max", None) or sparse.global_max(postings).first().global_max
+        with stopwatch(took, "sparse file"):
+            entries = F.map_from_entries(F.collect_list(F.struct("term", "weight")))
+            sinks.write_sparse(postings.groupBy("doc_id").agg(entries.alias("splade_terms")), f"{out}/sparse")
         with stopwatch(took, "sparse blocks"):
             blocks.store_blocks(blocks.posting_blocks(sparse.unit_length(postings, "doc_id")), f"{out}/cosine")
             blocks.store_blocks(blocks.posting_blocks(postings), f"{out}/overlap")

@@ -134,10 +134,6 @@ def save_index(df: DataFrame, path: str, by: Sequence[str] = ()) -> None:
     (writer.partitionBy(*by) if by else writer).parquet(path)
 
 
-def load_index(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
-
-
 def write_sparse(docs: DataFrame, path: str) -> None:
     """JSONL of doc_id and splade_terms, without the content."""
     docs.select("doc_id", "splade_terms").write.mode("overwrite").json(path)

@@ -126,6 +126,8 @@ def test_index_query_evaluate_tune(spark, tmp_path, monkeypatch):
     assert jobs.main(["index", "--documents", docs, "--out", idx], spark) == 0
     assert json.loads(spark.read.text(f"{idx}/stats").first().value)["doc_count"] == 7
 
+    assert files.read_sparse(spark, f"{idx}/sparse").filter("doc_id = 'd1'").first().splade_terms["pear"] > 0
+
     def gone(*_):
         raise AssertionError("documents are encoded once")
 
