@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rankloom.functions.text import normal_id
+from rankloom.session import written
 from rankloom.sources.tables import table
 
 #: simple: any null part and the reference counts as satisfied. partial: what
@@ -120,6 +121,7 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
         .agg(F.min("start").alias("start"), F.max(F.struct("start", "end")).alias("_last"))
         .select("ref_table", "id", "start", F.col("_last.end").alias("end"))
     )
+    refs, targets = written(refs, "refs"), written(targets, "targets")  # read by both masks, for hot keys and for the rest
     lost = orphans(refs, targets, {"ref_table": "ref_table", "doc_id": "id"}, "partial", ("at", "start", "end"), never_null=("ref_table", "doc_id"))
     return lost.select("ref_table", "ref_id", "doc_id", F.coalesce(F.date_format("at", "yyyy-MM"), F.lit("")).alias("period")).distinct()
 
