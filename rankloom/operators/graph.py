@@ -498,9 +498,8 @@ def graph_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def graph_allowed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two-hop scores of the documents that another search found: the ten best of each query by sparse dot product."""
-    graph, terms = _graph(spark, sf_dir), D.query_tokens(D.judged_queries(spark, sf_dir, D.binary(spark, sf_dir)))
-    allowed = top_k_dot(D.sparse_postings(spark, sf_dir), terms, 10).select("query_id", "doc_id")
-    return hop_scores(graph, doc_edges(graph), terms, allowed=allowed, k=None)
+    postings, terms = written(D.sparse_postings(spark, sf_dir), "postings"), D.query_tokens(D.judged_queries(spark, sf_dir, D.binary(spark, sf_dir)))
+    return two_hop(edges(postings), terms, k=None, allowed=top_k_dot(postings, terms, 10).select("query_id", "doc_id"))
 
 
 QUERIES = {"graph_edges": graph_edges, "doc_similarity": doc_similarity, "graph_score": graph_score, "graph_stats": graph_stats, "graph_allowed": graph_allowed}

@@ -353,6 +353,24 @@ def test_graph_score_moves_no_row_for_a_query_and_a_neighbour(spark, monkeypatch
     assert moved < 1_500_000
 
 
+def test_graph_allowed_moves_no_row_for_a_query_and_a_neighbour(spark, monkeypatch):
+    post = spark.createDataFrame([(f"d{i:03}", t, 0.5 + i % 97 / 100) for i in range(600) for t in ("hot", f"t{i % 50}")], POST)
+    terms = spark.createDataFrame([(f"q{i:03}", t, 1.0 + i % 3) for i in range(200) for t in ("hot", f"t{i % 50}")], TERMS)
+    monkeypatch.setattr(graph, "GRAPH_BLOCK", 150)
+    monkeypatch.setattr(graph, "_graph", lambda *_: post)
+    for name in ("binary", "judged_queries"):
+        monkeypatch.setattr(graph.D, name, lambda *_: None)
+    monkeypatch.setattr(graph.D, "sparse_postings", lambda *_: post)
+    monkeypatch.setattr(graph.D, "query_tokens", lambda *_: terms)
+    before = shuffled(spark)
+    got = graph.QUERIES["graph_allowed"](spark, "").collect()
+    moved = shuffled(spark) - before
+    allowed = graph.top_k_dot(post, terms, 10).select("query_id", "doc_id")
+    want = graph.hop_scores(post, graph.doc_edges(post), terms, allowed=allowed, k=None)
+    assert len(got) == 2_000 and sorted(map(tuple, got)) == sorted(map(tuple, want.collect()))
+    assert moved < 1_500_000
+
+
 def test_context_budget(spark):
     hits = spark.createDataFrame([("q", "a", 1, " " + "x" * 30), ("q", "b", 2, "y" * 30), ("q", "c", 3, "z"), ("p", "a", 1, None)], "query_id string, doc_id string, rank int, content string")
     got = {r.query_id: r for r in rag.build_context(hits, 10).collect()}
